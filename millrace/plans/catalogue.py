@@ -1,10 +1,8 @@
-"""Registered queries and their SQL counterparts."""
+"""All registered queries and their SQL counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import models, scalars, statistics, wrangling
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "models", "scalars", "statistics", "wrangling"]
