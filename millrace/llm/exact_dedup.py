@@ -89,7 +89,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     ids = saved(text_identities(docs.select("doc_id", "text"), block_bytes))
     key = ["size", "level", "name"]
-    groups = ids.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    groups = saved(ids.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     # A null key cannot occur: size, level and name are never null.
     rows = ids.join(groups, key).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
