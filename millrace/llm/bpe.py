@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of each worker's cache of encoded words, and the longest word that it takes.
-CACHE, CACHE_CHARS = 400_000, 64
+#: Words that a worker's caches keep between groups of texts, the longest one they take, and pairs of tokens
+#: known to fit or not. Workers live on between tasks, so these bound what they hold.
+CACHE, CACHE_CHARS, CACHE_PAIRS = 50_000, 64, 300_000
+#: Characters of text whose new words are encoded together, and marks that often end a word.
+PRIME_CHARS, MARKS = 16 << 20, ".,;:!?%&*#$|"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +44,7 @@ class Vocabulary:
         self.endings: dict[bytes, int | None] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
@@ -69,13 +73,46 @@ class Vocabulary:
                 return True
 
     def compatible(self, left: int, right: int) -> bool:
-        found = self.known.get((left, right))
+        found = self.known.get(left << 32 | right)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > CACHE_PAIRS:
                 self.known.clear()
-            found = self.known[left, right] = self._fits(left, right)
+            found = self.known[left << 32 | right] = self._fits(left, right)
         return found
 
+    def last_tokens(self, data: bytes, last: list[int]) -> None:
+        """Extends ``last``, the last tokens of the first prefixes of ``data``, to all of them."""
+        endings, known = self.endings, self.known
+        for end in range(len(last) + 1, len(data) + 1):
+            start = end - 1
+            while True:
+                token = endings.get(data[start:end], -1)
+                if token is not None:
+                    if token < 0:
+                        raise ValueError("the vocabulary lacks a byte")
+                    if start == 0:
+                        break
+                    fits = known.get(last[start - 1] << 32 | token)
+                    if self.compatible(last[start - 1], token) if fits is None else fits:
+                        break
+                start -= 1
+            last.append(token)
+
+    def encode(self, data: bytes) -> list[int]:
+        whole = self.ranks.get(data)
+        if whole is not None:  # also what the last of its prefixes would say
+            return [whole]
+        last: list[int] = []
+        self.last_tokens(data, last)
+        return self.walk(last, len(data))
+
+    def walk(self, last: list[int], at: int) -> list[int]:
+        out = []
+        while at > 0:
+            out.append(last[at - 1])
+            at -= len(self.bytes_of[out[-1]])
+        return out[::-1]
+
 
 class PrefixTable:
     """The unique last token of every prefix of ``data``; grows by appends and mends itself near edits."""
@@ -84,21 +121,9 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _entry(self, data: bytes, end: int, last: list[int]) -> int:
-        v = self.vocabulary
-        for start in range(end - 1, max(0, end - v.longest) - 1, -1):
-            piece = data[start:end]
-            if piece not in v.endings:
-                break
-            token = v.endings[piece]
-            if token is not None and (start == 0 or v.compatible(last[start - 1], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._entry(self.data, end, self.last))
+        self.vocabulary.last_tokens(self.data, self.last)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replaces data[start:stop]; returns how many entries had to be found anew."""
@@ -107,7 +132,7 @@ class PrefixTable:
         self.last, same = old[:start], 0
         while len(self.last) < len(self.data):
             end = len(self.last) + 1
-            self.last.append(self._entry(self.data, end, self.last))
+            self.vocabulary.last_tokens(self.data[:end], self.last)
             same = same + 1 if end > start + len(new) and old[end - 1 - shift] == self.last[-1] else 0
             if same >= self.vocabulary.longest and end > self.vocabulary.longest:
                 found = end - start
@@ -117,15 +142,11 @@ class PrefixTable:
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes."""
-        at, out = len(self.last) if end is None else end, []
-        while at > 0:
-            out.append(self.last[at - 1])
-            at -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        return self.vocabulary.walk(self.last, len(self.last) if end is None else end)
 
 
 class _Words(dict):
-    """word -> its ids, packed; bounded."""
+    """word -> its ids, packed."""
 
     def __init__(self, encode, lead: str):
         super().__init__()
@@ -134,7 +155,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.encode(self.lead + word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= 16 * CACHE:  # a group of texts without end
                 self.clear()
             self[word] = packed
         return packed
@@ -161,11 +182,38 @@ class Encoder:
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
 
     def _match(self, match: str) -> bytes:
-        return np.array(PrefixTable(self.vocabulary, match.encode()).tokens(), "<u4").tobytes()
+        ids = self.vocabulary.encode(match.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, text: str) -> bytes:
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.parts[text]  # one match of letters
         return b"".join(map(self.parts.__getitem__, self.pattern.findall(text)))
 
+    def prime(self, texts: list[str | None]) -> None:
+        """Encodes the new words of ``texts`` in sorted order: a word's table of prefixes starts from that of the
+        word before, as far as both agree, so bytes that many words begin with are looked at once."""
+        for cache in (self.parts, self.spaced, self.first):
+            if len(cache) > CACHE:
+                cache.clear()
+        words: set[str] = set()
+        for t in texts:
+            words.update((t or "").split(" "))
+        cores = {w.rstrip(MARKS) for w in words if w not in self.spaced}
+        matches = sorted((" " + w).encode() for w in cores if len(w) <= CACHE_CHARS and w.isalpha())
+        before, last, v = b"", [], self.vocabulary
+        for data in matches:
+            shared = 0
+            for a, b in zip(before, data):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared:]
+            v.last_tokens(data, last)
+            ids = v.walk(last, len(data))
+            self.parts[data.decode()] = struct.pack(f"<{len(ids)}I", *ids)
+            before = data
+
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -192,6 +240,20 @@ def encoder_for(held, pattern: str) -> Encoder:
     return _BUILT[key]
 
 
+def primed(encoder: Encoder, column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, the encoder's caches filled ahead."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py())
+        size += len(group[-1] or "")
+        if size >= PRIME_CHARS:
+            encoder.prime(group)
+            yield from group
+            group, size = [], 0
+    encoder.prime(group)
+    yield from group
+
+
 def held_ranks(spark: SparkSession, path: str):
     """The rank file, read by the driver and broadcast: a vocabulary's size does not depend on the corpus."""
     ranks = load_ranks(path)
@@ -214,8 +276,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
         encoder = encoder_for(held, pattern)
         for batch in batches:
             counts, ids, shas, backs = [], [], [], []
-            for text in batch.column(1):
-                packed = encoder.encode(text.as_py())
+            for text in primed(encoder, batch.column(1)):
+                packed = encoder.encode(text)
                 counts.append(len(packed) // 4)
                 shas.append(hashlib.sha256(packed).hexdigest())
                 backs.append(hashlib.sha256(encoder.decode(packed)).hexdigest())

@@ -9,15 +9,17 @@ words together as in the base score. Scores are therefore log-probabilities of o
 Training is data-parallel: every training text is learnt from once. In each round all tasks start from the
 same parameters, learn from their own texts, and the results are averaged by tokens, in a tree.
 
-Counts are kept under 64-bit hashes of the words. They grow with the corpus, so they are never broadcast:
-texts are dealt into blocks, and only a block's distinct words are joined to the counts.
+Texts are tokenised once, into a table of blocks: a block holds the distinct words of some 16 MB of text, under
+64-bit hashes, and its texts as positions in that list. Counts are sums over the blocks' words; they grow with
+the corpus, so they are never broadcast, and come back to the blocks by a join on the distinct words only.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Words with a class of their own, words to a class, state units, window, and lanes that run side by side.
-TOP, CLASS, UNITS, WINDOW, LANES = 1024, 32, 12, 32, 512
+TOP, CLASS, UNITS, WINDOW, LANES = 1024, 32, 8, 32, 512
 #: Inputs for all other words, by their last three bytes.
 OTHER = 256
 RATE, SHARES = 0.01, (0.15, 0.45, 1.0)  # step size; cumulative shares of the texts in each round
-CHUNK_TOKENS, BLOCK_BYTES, FAN_IN = 4_000_000, 16 << 20, 16
+BLOCK_BYTES, FAN_IN = 16 << 20, 16
 END = b""
 
 
@@ -42,31 +44,9 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word, 5)
-        self[word] = value = value - (1 << 64) if value >> 63 else value
-        return value
-
-
-_HASHES = _Hashes()
-
-
-class _Ids(dict):
-    """word -> target, or for other words ``top`` + its input bucket; bounded."""
-
-    def __init__(self, top: dict[int, int]):
-        super().__init__()
-        self.top, self.count = top, len(top)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        found = self.top.get(_HASHES[word])
-        value = self[word] = self.count + zlib.crc32(word[-3:]) % OTHER if found is None else found
-        return value
+def word_hash(word: bytes) -> int:
+    value = xxhash.xxh64_intdigest(word, 5)
+    return value - (1 << 64) if value >> 63 else value
 
 
 class GatedModel:
@@ -82,7 +62,7 @@ class GatedModel:
         classes = -(-top // CLASS) + 1
         mass = [sum(counts[c * CLASS : (c + 1) * CLASS]) + 0.5 for c in range(classes - 1)] + [others + 0.5]
         draw = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
-        return cls(top, {"a": draw(top + OTHER, 3 * units), "u": draw(units, 3 * units), "wc": draw(classes, units) * 0, "bc": np.log(np.array(mass, np.float32)), "ww": draw(top, units) * 0, "bw": np.log(np.array(counts, np.float32) + 0.5)})
+        return cls(top, {"a": draw(top + OTHER, 3 * units), "u": draw(units, 3 * units), "wc": draw(classes, units) * 0, "bc": np.log(np.array(mass, np.float32) / sum(mass)), "ww": draw(top, units) * 0, "bw": np.log((np.array(counts, np.float32) + 0.5) / max(counts, default=1))})
 
     def copy(self) -> GatedModel:
         return GatedModel(self.top, {k: v.copy() for k, v in self.p.items()})
@@ -107,18 +87,18 @@ class GatedModel:
         wc, bc, ww, bw = (self.p[k] for k in ("wc", "bc", "ww", "bw"))
         c = np.minimum(y // CLASS, self.classes - 1)
         c[y >= self.top] = self.classes - 1
-        logits = h @ wc.T + bc
-        logits -= logits.max(1, keepdims=True)
+        # Biases start as logarithms of shares and states lie within 1, so exponentials need no shift, only a bound.
+        logits = np.minimum(h @ wc.T + bc, 60)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ np.ones(self.classes, e.dtype)
         rows = np.arange(len(y))
         logp = logits[rows, c] - np.log(total)
         grad, dh = None, None
         if gradients:
-            e /= -total[:, None]
+            e *= (-1 / total)[:, None]
             e[rows, c] += 1
             dh = e @ wc
-            grad = {"wc": e.T @ h, "bc": e.sum(0), "ww": np.zeros_like(ww), "bw": np.zeros_like(bw)}
+            grad = {"wc": e.T @ h, "bc": np.ones(len(y), e.dtype) @ e, "ww": np.zeros_like(ww), "bw": np.zeros_like(bw)}
         order = np.argsort(c, kind="stable")
         cuts = np.searchsorted(c[order], np.arange(self.classes))
         for k in range(self.classes - 1):
@@ -127,17 +107,16 @@ class GatedModel:
                 continue
             lo, hi = k * CLASS, min((k + 1) * CLASS, self.top)
             hk = h[own]
-            logits = hk @ ww[lo:hi].T + bw[lo:hi]
-            logits -= logits.max(1, keepdims=True)
+            logits = np.minimum(hk @ ww[lo:hi].T + bw[lo:hi], 60)
             e = np.exp(logits)
-            total = e.sum(1)
+            total = e @ np.ones(hi - lo, e.dtype)
             at = np.arange(len(own)), y[own] - lo
             logp[own] += logits[at] - np.log(total)
             if gradients:
-                e /= -total[:, None]
+                e *= (-1 / total)[:, None]
                 e[at] += 1
                 dh[own] += e @ ww[lo:hi]
-                grad["ww"][lo:hi], grad["bw"][lo:hi] = e.T @ hk, e.sum(0)
+                grad["ww"][lo:hi], grad["bw"][lo:hi] = e.T @ hk, np.ones(len(own), e.dtype) @ e
         return logp, grad, dh
 
     def gradients(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -234,41 +213,66 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word hash, count) over the ``text`` column; counted in each task first, in bounded pieces."""
+def tokenised(rows: DataFrame) -> DataFrame:
+    """Blocks of ``rows`` (doc_id, text, train): block, doc_ids, train, lengths, ids (int32, all texts end to
+    end, positions in words), words (hashes), n (count of each word in training texts), buckets (of each word)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        from pyspark import TaskContext
+
+        task, number, size = TaskContext.get().partitionId(), 0, 0
+        index: defaultdict = defaultdict(itertools.count().__next__)
+        keys, train, texts = [], [], []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_HASHES[w] for w in seen], pa.int64()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return out
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        def block() -> pa.RecordBatch:
+            ids = np.concatenate(texts)
+            flags = np.array(train, bool)
+            lengths = np.array([len(t) for t in texts], np.int32)
+            n = np.bincount(ids[np.repeat(flags, lengths)], minlength=len(index))
+            hashes = np.fromiter(map(word_hash, index), np.int64, len(index))
+            buckets = np.fromiter((zlib.crc32(w[-3:]) % OTHER for w in index), np.uint8, len(index))
+            columns = [pa.array([task << 24 | number], pa.int64()), one(pa.concat_arrays(keys)), one(pa.array(flags)), one(pa.array(lengths)), pa.array([ids.astype("<i4").tobytes()], pa.binary()), one(pa.array(hashes)), one(pa.array(n.astype(np.int32))), pa.array([buckets.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "train", "lengths", "ids", "words", "n", "buckets"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > 300_000:
-                    yield flush()
-        if seen:
-            yield flush()
-
-    return texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], ids: _Ids) -> Iterator[tuple[list, list[np.ndarray]]]:
-    rows, texts, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0), batch.column(1)):
-            words = tokens(text.as_py())
-            texts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-            rows.append(key.as_py())
-            size += len(words)
-            if size >= CHUNK_TOKENS:
-                yield rows, texts
-                rows, texts, size = [], [], 0
-    if rows:
-        yield rows, texts
+            flags = batch.column(2).to_pylist()
+            for i, text in enumerate(batch.column(1)):
+                words = tokens(text.as_py())
+                texts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+                keys.append(batch.column(0).slice(i, 1))
+                train.append(flags[i])
+                size += 6 * len(words)
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    index = defaultdict(itertools.count().__next__)
+                    keys, train, texts, number, size = [], [], [], number + 1, 0
+        if texts:
+            yield block()
+
+    return rows.select("doc_id", "text", "train").mapInArrow(run, f"block bigint, doc_ids array<{kind}>, train array<boolean>, lengths array<int>, ids binary, words array<bigint>, n array<int>, buckets binary")
+
+
+def _inputs(words: np.ndarray, buckets: bytes, top: np.ndarray) -> np.ndarray:
+    """Of each of a block's words: its place in ``top``, else len(top) + its bucket."""
+    out = np.frombuffer(buckets, np.uint8).astype(np.int32) + len(top)
+    if len(top):
+        order = np.argsort(top)
+        at = np.minimum(np.searchsorted(top[order], words), len(top) - 1)
+        hit = top[order][at] == words
+        out[hit] = order[at[hit]]
+    return out
+
+
+def _texts(table: pa.RecordBatch | pa.Table, i: int, top: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The inputs of block ``i``'s texts, its raw positions, and which words are which input."""
+    cell = lambda name: table.column(name)[i]
+    inputs = _inputs(cell("words").values.to_numpy(), cell("buckets").as_py(), top)
+    ids = np.frombuffer(cell("ids").as_py(), "<i4")
+    return np.split(inputs[ids], np.cumsum(cell("lengths").values.to_numpy())[:-1]), ids, inputs
 
 
 def _average(spark, trained: DataFrame, tasks: int) -> dict[str, np.ndarray] | None:
@@ -287,32 +291,34 @@ def _average(spark, trained: DataFrame, tasks: int) -> dict[str, np.ndarray] | N
     return sum(np.frombuffer(r["values"], np.float32) * (r["weight"] / total) for r in rows) if total else None
 
 
-def fit(texts: DataFrame, top: list[tuple[int, int]], others: int, units: int = UNITS) -> GatedModel:
-    """Learns from every row of ``texts`` (text) once. ``top``: hash and count of the commonest words, commonest
-    first; ``others``: tokens of all other words."""
-    spark = texts.sparkSession
+def fit(blocks: DataFrame, top: list[tuple[int, int]], others: int, units: int = UNITS) -> GatedModel:
+    """Learns from every training text of ``blocks`` once. ``top``: hash and count of the commonest words,
+    commonest first; ``others``: tokens of all other words."""
+    spark = blocks.sparkSession
     model = GatedModel.initial([c for _, c in top], others, units)
-    index = {h: i for i, (h, _) in enumerate(top)}
     if not top:
         return model
     shapes = [(k, v.shape) for k, v in model.p.items()]
-    turn = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1000)) / 1000
+    turn = F.pmod(F.xxhash64("block"), F.lit(1000)) / 1000
     low = 0.0
     for high in SHARES:
-        held = spark.sparkContext.broadcast((model.p, index))  # TOP words at most
+        held = spark.sparkContext.broadcast((model.p, np.array([h for h, _ in top], np.int64)))  # TOP words at most
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            p, own_index = held.value
-            mine, weight = GatedModel(len(own_index), {k: v.copy() for k, v in p.items()}), 0
-            for _, chunk in _chunks(batches, _Ids(own_index)):
-                weight += train(mine, chunk)
+            p, hashes = held.value
+            mine, weight = GatedModel(len(hashes), {k: v.copy() for k, v in p.items()}), 0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    flags = batch.column("train")[i].as_py()
+                    texts = [t for t, f in zip(_texts(batch, i, hashes)[0], flags) if f]
+                    weight += train(mine, texts) if texts else 0
             if weight:
                 values = np.concatenate([v.ravel() for v in mine.p.values()]).astype(np.float32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([weight], pa.int64()), pa.array([values], pa.binary())], ["task", "weight", "values"])
 
-        part = texts.where((turn >= low) & (turn < high)).select(F.lit(None).cast("int").alias("k"), "text")
+        part = blocks.where((turn >= low) & (turn < high)).select("train", "lengths", "ids", "words", "buckets")
         trained = saved(part.mapInArrow(run, "task bigint, weight bigint, values binary"))
         most = trained.agg(F.max("task")).first()[0]
         flat = _average(spark, trained, (most or 0) + 1)
@@ -333,77 +339,36 @@ def score_texts(docs: DataFrame, training: Column, units: int = UNITS) -> DataFr
     allowed; other columns are not read. Without training rows every word is unknown and has probability 1.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), training.alias("train"))
-    learnt = rows.where("train")
-    counts = saved(count_words(learnt))
+    blocks = saved(tokenised(docs.select("doc_id", F.col("text").cast("string").alias("text"), training.alias("train"))))
+    pairs = blocks.select(F.inline(F.arrays_zip("words", "n")).alias("word", "n"))
+    counts = saved(pairs.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(sums["n"]), int(sums["v"])
     top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(TOP).collect()]
     rare_n, rare_v = n - sum(c for _, c in top), v - len(top)
-    model = fit(learnt, top, rare_n, units)
-
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).select("block", "doc_id", "text", "train").repartition(blocks, "block")
-    held = spark.sparkContext.broadcast((model.p, dict(top)))
-    ordered = [h for h, _ in top]
-
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = held.value[1]
-        seen: dict[int, set] = {}
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.setdefault(block, set()).update(tokens(text.as_py()))
-            if sum(map(len, seen.values())) > 500_000:
-                yield from packed(seen, common)
-        yield from packed(seen, common)
-
-    def packed(seen: dict[int, set], common: dict[int, int]) -> Iterator[pa.RecordBatch]:
-        for block, words in seen.items():
-            hashes = np.setdiff1d(np.fromiter((_HASHES[w] for w in words), np.int64, len(words)), np.fromiter(common, np.int64, len(common)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block, np.int32)), pa.array(hashes)], ["block", "word"])
-        seen.clear()
-
-    wanted = dealt.select("block", "text").mapInArrow(distinct_words, "block int, word bigint")
-    found = wanted.join(counts, "word").groupBy("block", "word").agg(F.max("c").alias("c")).select("block", "word", "c")
-    half = 0.5 * (v + 1)
-    rare_log = math.log10(rare_n + 0.5 * (rare_v + 1))
-
-    def score(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        p, common = held.value
-        mine = GatedModel(len(ordered), p)
-        words, cs = known.column("word").to_numpy(), known.column("c").to_numpy()
-        order = np.argsort(words)
-        words, cs = words[order], cs[order]
-        logs = np.log10(cs + 0.5)
-        top_log = np.log10(np.array([common[h] for h in ordered], float) + 0.5)
-        ids = _Ids({h: i for i, h in enumerate(ordered)})
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score")}
-        column = texts.column("text")
-        at = 0
-        while at < len(column):
-            chunk, rare, size = [], [], 0
-            while at < len(column) and size < CHUNK_TOKENS:
-                ws = tokens(column[at].as_py())
-                x = np.fromiter(map(ids.__getitem__, ws), np.int32, len(ws))
-                hashes = np.fromiter((_HASHES[ws[i]] for i in np.flatnonzero(x >= len(ordered))), np.int64)
-                place = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-                hit = words[place] == hashes if len(words) else np.zeros(len(hashes), bool)
-                own = logs[place[hit]].sum() + (~hit).sum() * math.log10(0.5)
-                common_x = x[x < len(ordered)]
-                out["n_tokens"].append(len(x))
-                out["n_known"].append(len(common_x) + int(hit.sum()))
-                out["base"].append(float(top_log[common_x].sum() + own - len(x) * math.log10(n + half)))
-                rare.append(own - len(hashes) * rare_log)
-                chunk.append(x)
-                size += len(x)
-                at += 1
-            neural = log_likelihoods(mine, chunk) / math.log(10) if ordered else np.zeros(len(chunk))
-            out["score"] += (neural + np.array(rare)).tolist()
-        return pa.table({"doc_id": texts.column("doc_id"), "train": texts.column("train"), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "base_score": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
+    model = fit(blocks, top, rare_n, units)
+    held = spark.sparkContext.broadcast((model.p, np.array([h for h, _ in top], np.int64)))
+    every_log, rare_log = math.log10(n + 0.5 * (v + 1)), math.log10(rare_n + 0.5 * (rare_v + 1))
+
+    def score(key: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
+        p, hashes = held.value
+        texts, ids, inputs = _texts(table, 0, hashes)
+        c = np.zeros(len(inputs))
+        c[known.column("pos").to_numpy()] = known.column("c").to_numpy()
+        logs, rare = np.log10(c + 0.5), inputs >= len(hashes)
+        starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])).astype(np.int64)
+        per_text = lambda x: np.add.reduceat(x[ids], starts)  # noqa: E731  no text is without its end token
+        length = per_text(np.ones(len(inputs), np.int64))
+        neural = log_likelihoods(GatedModel(len(hashes), p), texts) / math.log(10) if len(hashes) else np.zeros(len(texts))
+        n_rare = per_text(rare.astype(np.int64))
+        out = {"doc_id": table.column("doc_ids").chunk(0).values, "train": table.column("train").chunk(0).values, "n_tokens": pa.array(length), "n_known": pa.array(per_text((c > 0).astype(np.int64)))}
+        return pa.table({**out, "base_score": pa.array(per_text(logs) - length * every_log), "score": pa.array(neural + per_text(np.where(rare, logs, 0.0)) - n_rare * rare_log)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    words = blocks.select(F.col("block").alias("at"), F.posexplode("words").alias("pos", "word"))
+    found = words.join(counts, "word").select("at", "pos", "c")
+    texts = blocks.select("block", "doc_ids", "train", "lengths", "ids", "words", "buckets")
+    scored = texts.groupBy("block").cogroup(found.groupBy("at")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"))
 
 

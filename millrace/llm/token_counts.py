@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Encoder, encoder_for, held_ranks
+from .bpe import Encoder, encoder_for, held_ranks, primed
 
 
 def lines(text: str) -> list[int]:
@@ -63,8 +63,8 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: Cal
         encoder = encoder_for(held, pattern)
         for batch in batches:
             n_tokens, n_chars, found = [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
+            for text in primed(encoder, batch.column(1)):
+                text = text or ""
                 starts, ends = token_spans(encoder, text)
                 cuts = sections(text)
                 inside, crossing = attribute(starts, ends, cuts, len(text))
