@@ -84,3 +84,39 @@ def from_hsl(hsl: Column) -> Column:
 def gradient(a: Column, b: Column, steps: int) -> Column:
     """``steps`` colours from ``a`` to ``b``, ends included."""
     return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: rgb(*[a[n] + (b[n] - a[n]) * i / max(steps - 1, 1) for n in RGB]))
+
+
+def to_hsv(c: Column) -> Column:
+    high, low = F.greatest(*[c[n] for n in RGB]), F.least(*[c[n] for n in RGB])
+    return F.struct(to_hsl(c)["h"].alias("h"), F.when(high == 0, 0.0).otherwise(F.try_divide(high - low, high)).alias("s"), high.alias("v"))
+
+
+def from_hsv(hsv: Column) -> Column:
+    def channel(n: int) -> Column:
+        k = F.pmod(F.lit(float(n)) + hsv["h"] * 6, F.lit(6.0))
+        return hsv["v"] * (1 - hsv["s"] * F.greatest(F.least(k, 4 - k, F.lit(1.0)), F.lit(0.0)))
+
+    return rgb(channel(5), channel(3), channel(1))
+
+
+def _with_hsl(c: Column, **changed) -> Column:
+    hsl = to_hsl(c)
+    return from_hsl(F.struct(*[(changed[n](hsl[n]) if n in changed else hsl[n]).alias(n) for n in "hsl"]))
+
+
+def saturate(c: Column, by: float) -> Column:
+    return _with_hsl(c, s=lambda s: s + (1 - s) * by)
+
+
+def pale(c: Column, by: float) -> Column:
+    return _with_hsl(c, s=lambda s: s * (1 - by))
+
+
+def shift_hue(c: Column, turns: float) -> Column:
+    return _with_hsl(c, h=lambda h: F.pmod(h + turns, F.lit(1.0)))
+
+
+def nearest(c: Column, palette: dict[str, str]) -> Column:
+    """The name of the nearest colour of a palette of hexadecimal values, the first of equally near ones."""
+    ranked = [F.struct(distance(c, from_hex(F.lit(h))).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, h) in enumerate(palette.items())]
+    return (F.least(*ranked) if len(ranked) > 1 else ranked[0])["n"]

@@ -152,6 +152,21 @@ def week_number(d: Column) -> Column:
     return F.weekofyear(d)
 
 
+def today() -> Column:
+    return F.current_date()
+
+
+def today_string(fmt: str = "yyyy-MM-dd") -> Column:
+    return F.date_format(F.current_date(), fmt)
+
+
+def make_date(year: Column | None = None, month: Column | None = None, day: Column | None = None) -> Column:
+    """Parts that are not given, or null, are today's."""
+    now = F.current_date()
+    part = lambda x, f: f(now) if x is None else F.coalesce(x, f(now))
+    return F.make_date(part(year, F.year), part(month, F.month), part(day, F.day))
+
+
 def convert(microseconds: Column, unit: str) -> Column:
     if unit not in MICROSECONDS:
         raise MissingArgumentError(f"unknown unit {unit}")
@@ -175,3 +190,26 @@ def elapsed_months(start: Column, end: Column) -> Column:
 def best_unit(microseconds: Column) -> Column:
     ladder = F.when(microseconds < 1_000, "us").when(microseconds < 1_000_000, "ms").when(microseconds < 60_000_000, "s")
     return ladder.when(microseconds < 3_600_000_000, "min").when(microseconds < 86_400_000_000, "h").otherwise("day")
+
+
+def parse_year_month(s: Column) -> Column:
+    """yyyymm from '202103', '2021-03', '2021/3' or '2021 Mar'; null for other text."""
+    s = s.cast("string")
+    year = F.regexp_extract(s, r"^\s*(\d{4})", 1).try_cast("int")
+    digits = F.regexp_extract(s, r"^\s*\d{4}\D?(\d{1,2})\s*$", 1).try_cast("int")
+    month = F.coalesce(digits, month_number(F.regexp_extract(s, r"^\s*\d{4}\W*([A-Za-z]{3,})", 1)))
+    return F.when(month.between(1, 12), year * 100 + month)
+
+
+def parse_year_quarter(s: Column) -> Column:
+    """yyyyq from '2021Q3', '2021-q3' or '20213'; null for other text."""
+    s = s.cast("string")
+    year = F.regexp_extract(s, r"^\s*(\d{4})", 1).try_cast("int")
+    part = F.regexp_extract(s, r"^\s*\d{4}\W?[Qq]?([1-4])\s*$", 1).try_cast("int")
+    return year * 10 + part
+
+
+def add_year_months(ym: Column, n: int) -> Column:
+    """yyyymm moved by months."""
+    total = F.floor(ym / 100) * 12 + ym % 100 - 1 + n
+    return (F.floor(total / 12) * 100 + F.pmod(total, F.lit(12)) + 1).cast("int")

@@ -32,3 +32,20 @@ def to_parts(total: Column, bases: Sequence[int], names: Sequence[str]) -> Colum
 
 def display(parts: Column, names: Sequence[str], widths: Sequence[int], sep: str = ":") -> Column:
     return F.concat_ws(sep, *[F.lpad(parts[n].cast("string"), w, "0") for n, w in zip(names, widths)])
+
+
+def add(a: Column, b: Column, bases: Sequence[int], names: Sequence[str]) -> Column:
+    """Sum of two structs of parts, carries included; likewise ``subtract`` and ``multiply``."""
+    return to_parts(_total(a, bases, names) + _total(b, bases, names), bases, names)
+
+
+def subtract(a: Column, b: Column, bases: Sequence[int], names: Sequence[str]) -> Column:
+    return to_parts(_total(a, bases, names) - _total(b, bases, names), bases, names)
+
+
+def multiply(a: Column, factor: Column | int, bases: Sequence[int], names: Sequence[str]) -> Column:
+    return to_parts(_total(a, bases, names) * factor, bases, names)
+
+
+def _total(x: Column, bases: Sequence[int], names: Sequence[str]) -> Column:
+    return from_parts([x[n] for n in names], bases)

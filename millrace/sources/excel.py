@@ -76,3 +76,44 @@ def read_excel(spark: SparkSession, path: str, **options: str) -> DataFrame:
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
+
+
+def _of_sheet(option, sheet: str, sheets: Sequence[str]):
+    """An option for one sheet: itself, or its entry in a dictionary by raw or snake-case names."""
+    if not isinstance(option, dict):
+        return option
+    known = {snake_name(s) for s in sheets}
+    unknown = [k for k in option if snake_name(k) not in known]
+    if unknown:
+        raise KeyError(f"no sheets {unknown}")
+    return {snake_name(k): v for k, v in option.items()}.get(snake_name(sheet))
+
+
+def workbook_tables(spark: SparkSession, sheets: dict[str, Sequence[Sequence]], standardize_columns=True, headers=0, column_names=None, index_columns=None, find_header_by_columns=None, ignore_sheets_with_no_header: bool = False) -> dict[str, DataFrame]:
+    """Every sheet, given as a matrix, as a table of strings, by snake-case name; options may differ by sheet.
+
+    ``index_columns`` come first. A sheet whose header is not found is an error, or left out.
+    """
+    out, names = {}, list(sheets)
+    for sheet, rows in sheets.items():
+        option = lambda o, sheet=sheet: _of_sheet(o, sheet, names)
+        try:
+            columns, body = sheet_table(rows, option(headers) or 0, option(find_header_by_columns), bool(option(standardize_columns)))
+        except MissingColumnsError:
+            if ignore_sheets_with_no_header:
+                continue
+            raise
+        columns = list(option(column_names) or columns)
+        text = [[None if x is None else str(x) for x in row] for row in body]
+        df = spark.createDataFrame(text, ", ".join(f"`{c}` string" for c in columns))
+        first = [snake_name(c) if option(standardize_columns) else c for c in option(index_columns) or []]
+        out[snake_name(sheet)] = df.select(*first, *[c for c in columns if c not in first])
+    return out
+
+
+def read_workbook(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """``workbook_tables`` of a file on the driver; needs an engine that pandas can read workbooks with."""
+    import pandas as pd
+
+    sheets = pd.read_excel(path, sheet_name=None, header=None, dtype=object)
+    return workbook_tables(spark, {n: m.where(m.notna(), None).values.tolist() for n, m in sheets.items()}, **options)

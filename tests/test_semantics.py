@@ -241,3 +241,94 @@ def test_timing(spark):
     assert m.summary(spark).first()["count"] == 1
     assert control.function_arguments(lambda a, b: None) == ["a", "b"]
     assert control.with_timeout(spark, lambda: spark.range(3).count(), 30) == 3
+
+
+def test_containers_and_automl(spark):
+    from millrace.operators import automl, containers
+
+    df = spark.range(60).select("id", (F.col("id") % 10).cast("double").alias("x"), (2.0 * (F.col("id") % 10) + 1).alias("y"))
+    pair = containers.TrainingTestContainer(sampling.training_test(df, 0.25, key="id"), ["x"], "y")
+    assert pair.training_data.count() == 45 and pair.test_data.count() == 15
+    with pytest.raises(errors.NotFittedError):
+        pair.predictions()
+    assert pair.fit(LinearRegression()).evaluate_regression().first()["rmse"] < 0.01
+    folds = containers.ValidationContainer(df, sampling.Validation(3, 0.1, key="id"), ["x"], "y")
+    assert folds.num_folds == 3 and folds.holdout.count() == 6
+    assert folds.evaluate_regression({"a": LinearRegression(), "b": DecisionTreeRegressor()}).count() == 6
+    assert "rmse_mean" in folds.evaluate_regression({"a": LinearRegression()}, aggregate=True).columns
+    with pytest.raises(errors.MissingRowsError):
+        folds.get_fold(4)
+    auto = automl.AutoML(metric="rmse").add_models(LinearRegression, {"regParam": [0.0, 9.0]}).add_validation("d", df, ["x"], "y", sampling.Validation(2, key="id"))
+    assert auto.run().best() == {"d": "LinearRegression_1"}
+
+
+def test_user_functions_and_tasks(spark):
+    from millrace.operators import jobs
+
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "k int, v double")
+    assert [r[0] for r in df.select(jobs.map_values(lambda x: -1.0 if x is None else x * 2, F.col("v"), "double")).collect()] == [4.0, -1.0]
+    assert [r["n"] for r in jobs.apply_rows(df, lambda r: r["k"] * 10, "n", "int").collect()] == [10, 20]
+    groups = jobs.evaluate_groups(spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 3.0)], "g int, a double, p double"), ["g"], "a", "p", lambda a, p: {"bias": (p - a).mean()}, ["bias"])
+    assert tuple(groups.first()) == (1, 0.5)
+    done = jobs.run_tasks({"good": lambda: spark.range(5).count(), "bad": lambda: 1 / 0})
+    assert done["good"].result == 5 and "ZeroDivisionError" in done["bad"].error
+    assert jobs.outcomes_table(spark, done).where("error is not null").count() == 1
+
+
+def test_runtime_estimator(spark):
+    import time
+
+    from millrace.operators.runtime import RuntimeEstimator
+
+    def work(n):
+        if n > 90:
+            raise ValueError
+        time.sleep(n / 5000)
+
+    e = RuntimeEstimator(spark, work, timeout=None)
+    e.explore(8, {"n": (10, 100)})
+    assert e.measure(n=10.0) is not None and len(e.records) == 8
+    got = e.fit().predict(spark.createDataFrame([(50.0,)], "n double")).first()
+    assert got["estimated_seconds"] == pytest.approx(0.01, abs=0.01) and "error_expected" in got.asDict()
+
+
+def test_today(spark):
+    assert one(spark, dates.make_date(F.lit(2020), F.lit(2), F.lit(3)), dates.today()) == (dt.date(2020, 2, 3), one(spark, F.current_date()))
+
+
+def test_workbooks(spark):
+    sheets = {"First Sheet": [["x"], ["Order Id", "Total"], [1, None]], "Other": [["A"], ["b"]]}
+    got = excel.workbook_tables(spark, sheets, find_header_by_columns={"first_sheet": ["total"]}, column_names={"Other": ["z"]}, index_columns={"First Sheet": ["Total"]})
+    assert got["first_sheet"].columns == ["total", "order_id"] and got["first_sheet"].first()["order_id"] == "1"
+    assert [r["z"] for r in got["other"].collect()] == ["b"]
+    with pytest.raises(errors.MissingColumnsError):
+        excel.workbook_tables(spark, sheets, find_header_by_columns=["total"])
+    assert list(excel.workbook_tables(spark, sheets, find_header_by_columns=["total"], ignore_sheets_with_no_header=True)) == ["first_sheet"]
+    with pytest.raises(KeyError):
+        excel.workbook_tables(spark, sheets, headers={"nope": 1})
+
+
+def test_more_numbers_and_periods(spark):
+    clock = ("h", "m")
+    half = numbers.to_parts(F.lit(90), (60,), clock)
+    assert one(spark, numbers.add(half, half, (60,), clock)) == (3, 0)
+    assert one(spark, numbers.subtract(half, numbers.to_parts(F.lit(91), (60,), clock), (60,), clock)) == (-1, 59)
+    assert one(spark, numbers.multiply(half, 3, (60,), clock)) == (4, 30)
+    for s, want in (("202103", 202103), ("2021-03", 202103), ("2021 Mar", 202103), ("2021/13", None), ("x", None)):
+        assert one(spark, dates.parse_year_month(F.lit(s))) == want
+    assert one(spark, dates.parse_year_quarter(F.lit("2021Q3")), dates.parse_year_quarter(F.lit("20213"))) == (20213, 20213)
+    assert one(spark, dates.add_year_months(F.lit(202012), 1), dates.add_year_months(F.lit(202001), -1)) == (202101, 201912)
+
+
+def test_more_colours(spark):
+    import colorsys
+
+    for rgb_ in ((0.2, 0.5, 0.9), (1.0, 0.0, 0.0), (0.3, 0.3, 0.3)):
+        c = colour.rgb(*rgb_)
+        h, s, v = one(spark, colour.to_hsv(c))
+        assert (h, s, v) == pytest.approx(colorsys.rgb_to_hsv(*rgb_))
+        assert tuple(one(spark, colour.from_hsv(colour.to_hsv(c)))) == pytest.approx(rgb_)
+        hls = colorsys.rgb_to_hls(*rgb_)
+        assert tuple(one(spark, colour.to_hsl(c))) == pytest.approx((hls[0], hls[2], hls[1]))
+    assert one(spark, colour.nearest(colour.rgb(0.9, 0.1, 0), {"blue": "#0000ff", "red": "#ff0000"})) == "red"
+    assert one(spark, colour.to_hex(colour.shift_hue(colour.rgb(1, 0, 0), 1 / 3))) == "#00ff00"
