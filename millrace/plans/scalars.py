@@ -77,11 +77,11 @@ def add_months_up(t: Tables) -> DataFrame:
 _US = "datediff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts)"
 
 
-@query(f"""SELECT event_id, round({_US} / 1e6, 6) AS s, round({_US} / 6e7, 6) AS min, round({_US} / 3.6e9, 6) AS h, round({_US} / 8.64e10, 6) AS day,
+@query(f"""SELECT event_id, {_US} / 1e6 AS s, {_US} / 6e7 AS min, {_US} / 3.6e9 AS h, {_US} / 8.64e10 AS day,
 CASE WHEN {_US} < 1000 THEN 'us' WHEN {_US} < 1000000 THEN 'ms' WHEN {_US} < 60000000 THEN 's' WHEN {_US} < 3600000000 THEN 'min' WHEN {_US} < 86400000000 THEN 'h' ELSE 'day' END AS unit FROM events""")
 def elapsed_units(t: Tables) -> DataFrame:
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    parts = [F.round(dates.elapsed(start, F.col("ts"), u), 6).alias(u) for u in ("s", "min", "h", "day")]
+    parts = [dates.elapsed(start, F.col("ts"), u).alias(u) for u in ("s", "min", "h", "day")]
     return t.events.select("event_id", *parts, dates.best_unit(F.timestamp_diff("MICROSECOND", start, F.col("ts"))).alias("unit"))
 
 
