@@ -29,6 +29,7 @@ FEATURES = ("log words", "mean word length", "upper share", "digit share", "mark
 
 _UPPER, _LOWER, _DIGIT = (np.isin(np.arange(256), np.arange(*r)) for r in ((65, 91), (97, 123), (48, 58)))
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*+/<=>@\\^_`{}~", np.uint8))
+_SPACE, _BANG = np.isin(np.arange(256), [*range(9, 14), 32]), np.arange(256) == 33
 _MARK = np.isin(np.arange(256), np.frombuffer(b".,;:?\"'()-", np.uint8))
 
 
@@ -42,7 +43,8 @@ def features(text: str | None) -> list[float]:
     ink = sum(map(len, words))
     letters = max(1, counts[_UPPER].sum() + counts[_LOWER].sum())
     rows = [r for r in data.split(b"\n") if r]
-    marked = sum(data.count(e + b" ") for e in (b"***", b"&&&", b"%%%", b"$$$", b"###", b"!!")) if b"!!" in data or counts[_SYMBOL].sum() else 0
+    codes = np.frombuffer(data + b" ", np.uint8)
+    marked = np.count_nonzero((_SYMBOL | _BANG)[codes[:-1]] & _SPACE[codes[1:]])
     return [math.log1p(len(words)), ink / len(words), counts[_UPPER].sum() / letters, counts[_DIGIT].sum() / ink, counts[_MARK].sum() / ink, counts[_SYMBOL].sum() / ink, counts[124] / ink, counts[33] / ink, len(set(words)) / len(words), marked / len(words), 1 - len(set(rows)) / len(rows), math.log1p(len(data) / len(rows))]
 
 
