@@ -1,7 +1,7 @@
 """Sampling and splitting, reproducible by a seeded digest of a key instead of a random state.
 
-Ordering is done on the table of ids, which is small beside the rows, and comes back by a join; rows of an id
-never part. Where all rows of a table must be ranked, ``with_row_id`` ranks them in ranges.
+Ordering is done on the table of ids and comes back by a join; rows of an id never part. Ids are numbered and
+summed in ranges, so their number may grow with the rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, DataError, MissingArgumentError
-from ..rows import require_batch, require_columns, seeded_order, with_row_id
+from ..rows import first_rows, require_batch, require_columns, seeded_order, with_row_id, with_running_total
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def sample_by_id(df: DataFrame, id_column: str, n: int | None = None, fraction:
     ids = _ids(df, id_column)
     if not replace:
         k = _count_of(ids.count(), n, fraction)
-        return df.join(ids.orderBy(seeded_order(id_column, seed), id_column).limit(k), id_column, "left_semi")
+        return df.join(first_rows(ids, [seeded_order(id_column, seed), F.col(id_column)], k), id_column, "left_semi")
     numbered = with_row_id(ids, [F.col(id_column)], "_n")
     total = numbered.count()
     k = round(total * fraction) if n is None else n
@@ -68,7 +68,7 @@ def sample_by_id(df: DataFrame, id_column: str, n: int | None = None, fraction:
 def split_by_id(df: DataFrame, id_column: str, n: int | None = None, fraction: float | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(training, test): all rows of n ids, and all others. Rows without an id are in test."""
     ids = _ids(df, id_column)
-    chosen = ids.orderBy(seeded_order(id_column, seed), id_column).limit(_count_of(ids.count(), n, fraction))
+    chosen = first_rows(ids, [seeded_order(id_column, seed), F.col(id_column)], _count_of(ids.count(), n, fraction))
     return df.join(chosen, id_column, "left_semi"), df.join(chosen, id_column, "left_anti")
 
 
@@ -100,7 +100,7 @@ def balance_sample(df: DataFrame, columns: list[str], key: str, n: int | None =
         raise AmbiguousArgumentError("more rows asked for than there are")
     rank = F.row_number().over(Window.partitionBy(*columns).orderBy(seeded_order(key, seed), key))
     ranked = df.withColumn("_rank", rank).where(F.col("_rank") <= k)
-    return ranked.orderBy("_rank", *[F.col(c).asc_nulls_first() for c in columns]).limit(k).drop("_rank")
+    return first_rows(ranked, [F.col("_rank"), *[F.col(c).asc_nulls_first() for c in columns]], k).drop("_rank")
 
 
 @dataclass
@@ -158,12 +158,11 @@ def split_counts(counts: DataFrame, count: str, order: list[Column], ratios: Seq
     """Adds bucket 0, 1, ... to a table of ids with counts: an id lies where its cumulative count does, so one
     that straddles a boundary goes to the later bucket."""
     total = counts.agg(F.sum(count)).first()[0] or 0
-    running = F.sum(count).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     bucket = F.lit(0)
     bounds = _bounds(int(total), ratios, sizes)
     for b in bounds[:-1]:
         bucket = bucket + F.when(F.col("_running") > b, 1).otherwise(0)
-    return counts.withColumn("_running", running).withColumn("bucket", bucket.cast("int")).drop("_running")
+    return with_running_total(counts, order, count, "_running").withColumn("bucket", bucket.cast("int")).drop("_running")
 
 
 @dataclass(frozen=True)

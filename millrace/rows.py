@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,19 +49,43 @@ def seeded_order(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
 
 
-def with_row_id(df: DataFrame, order_by: list[str | Column], name: str = "row_id") -> DataFrame:
-    """Adds 0..n-1 in the order of ``order_by``, which must be unique for a defined result.
+def _ranged(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
+    """Rows sorted over ranges, with _range and _range_at, the range and the place in it.
 
-    Rows are range-partitioned and sorted, so no task sees all of them; only the partitions' sizes come to
-    the driver. The sorted rows are kept, because both passes must see the same ranges.
+    The sorted rows are kept, because all passes over them must see the same ranges; ``spark.catalog.clearCache``
+    lets go of them.
     """
     require_batch(df)
     ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    part = F.shiftright("_m", 33)
-    sizes = {r["p"]: r["count"] for r in ranged.groupBy(part.alias("p")).count().collect()}
+    return ranged.withColumn("_range", F.shiftright("_m", 33).cast("int")).withColumn("_range_at", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+
+
+def _offsets(ranged: DataFrame, size: Column) -> Column:
+    """What lies in the ranges before a row's own; one number a range comes to the driver."""
+    sizes = {r["_range"]: int(r["n"] or 0) for r in ranged.groupBy("_range").agg(size.alias("n")).collect()}
     starts, at = [], 0
     for p in range(max(sizes, default=0) + 1):
         starts.append(at)
         at += sizes.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), (part + 1).cast("int"))
-    return ranged.withColumn(name, offset + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+    return F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_range") + 1)
+
+
+def with_row_id(df: DataFrame, order_by: list[str | Column], name: str = "row_id") -> DataFrame:
+    """Adds 0..n-1 in the order of ``order_by``, which must be unique for a defined result. No task sees more
+    than its range."""
+    ranged = _ranged(df, order_by)
+    return ranged.withColumn(name, _offsets(ranged, F.count(F.lit(1))) + F.col("_range_at")).drop("_range", "_range_at")
+
+
+def first_rows(df: DataFrame, order_by: list[str | Column], n: int) -> DataFrame:
+    """The first n rows, however many: a large limit would gather them in one task."""
+    if n <= 100_000:
+        return df.orderBy(*order_by).limit(n)
+    return with_row_id(df, order_by, "_n").where(F.col("_n") < n).drop("_n")
+
+
+def with_running_total(df: DataFrame, order_by: list[str | Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value``, a whole number, over all rows up to each, by ranges as in ``with_row_id``."""
+    ranged = _ranged(df, order_by)
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy("_range_at").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(name, _offsets(ranged, F.sum(value)) + inside).drop("_range", "_range_at")

@@ -332,3 +332,15 @@ def test_more_colours(spark):
         assert tuple(one(spark, colour.to_hsl(c))) == pytest.approx((hls[0], hls[2], hls[1]))
     assert one(spark, colour.nearest(colour.rgb(0.9, 0.1, 0), {"blue": "#0000ff", "red": "#ff0000"})) == "red"
     assert one(spark, colour.to_hex(colour.shift_hue(colour.rgb(1, 0, 0), 1 / 3))) == "#00ff00"
+
+
+def test_ranges_equal_global_windows(spark):
+    from pyspark.sql import Window
+
+    from millrace.rows import first_rows, with_running_total
+
+    df = spark.range(500).select("id", (F.col("id") * 7 % 11).alias("v"), F.xxhash64("id").alias("k")).repartition(6)
+    want = df.withColumn("s", F.sum("v").over(Window.orderBy("k"))).select("id", "s")
+    got = with_running_total(df, [F.col("k")], "v", "s").select("id", "s")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert first_rows(df, [F.col("k")], 20).count() == 20
