@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spread
+
 #: Words that a worker's caches keep between groups of texts, the longest one they take, and pairs of tokens
 #: known to fit or not. Workers live on between tasks, so these bound what they hold.
 CACHE, CACHE_CHARS, CACHE_PAIRS = 50_000, 64, 300_000
@@ -286,4 +288,4 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
             out = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
             yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, T.StructType(fields))
+    return spread(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, T.StructType(fields))

@@ -33,6 +33,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan that has fewer partitions than there are cores, dealt to all of them; anything larger, and any
+    plan that shuffles already, as it is."""
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` does just that to pure ASCII, and far faster than ``translate``."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import saved, spread
 
 WINDOW = 8
 #: Benchmark text that one automaton may hold. A larger benchmark is scanned for in several blocks of this size.
@@ -146,7 +146,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     by block, whose spans are then joined. Null text has no words; an item without words has no window;
     repeated items count once. Input columns may have any names: they stay inside ``row``.
     """
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
+    packed = spread(docs).select(F.struct(*map(F.col, (f"`{c}`" for c in docs.columns))).alias("row"), F.col("text").cast("string").alias("text"))
     for items in _blocks(benchmark, block_bytes):
         packed = _scan(packed, items, window)
     return packed

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, saved, spread
 
 BLOCK_BYTES = 4096
 BUCKETS = 1 << 16
@@ -55,7 +55,7 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
 
     Null texts count as empty; null and repeated ids are allowed.
     """
-    blocks = _blocks(docs, block_bytes)
+    blocks = _blocks(spread(docs), block_bytes)
     names = _named(blocks.select("h", "block").distinct(), "h", ["h", "block"])
     names = saved(names.select("h", "name", "same", F.when(F.col("same") > 1, F.col("block")).alias("block")))
     alone = blocks.drop("block").join(names.where("same = 1").select("h", "name"), "h")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, spread
 
 #: Words with a class of their own, words to a class, state units, window, and lanes that run side by side.
 TOP, CLASS, UNITS, WINDOW, LANES = 1024, 32, 8, 32, 512
@@ -253,7 +253,7 @@ def tokenised(rows: DataFrame) -> DataFrame:
         if texts:
             yield block()
 
-    return rows.select("doc_id", "text", "train").mapInArrow(run, f"block bigint, doc_ids array<{kind}>, train array<boolean>, lengths array<int>, ids binary, words array<bigint>, n array<int>, buckets binary")
+    return spread(rows.select("doc_id", "text", "train")).mapInArrow(run, f"block bigint, doc_ids array<{kind}>, train array<boolean>, lengths array<int>, ids binary, words array<bigint>, n array<int>, buckets binary")
 
 
 def _inputs(words: np.ndarray, buckets: bytes, top: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, sized_broadcast
+from .common import saved, sized_broadcast, spread
 from .graph import components
 
 WORDS, K = 5, 64
@@ -134,7 +134,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(map(set_id, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return spread(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def _leaders(classes: DataFrame) -> DataFrame:

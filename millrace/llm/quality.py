@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, sized_broadcast
+from .common import saved, sized_broadcast, spread
 
 #: Labelled documents that the classifier is fitted on, at most; site rates use all labels.
 SAMPLE = 20_000
@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     """
     model = fit_classifier(docs, labels, target)
     sites, mu = site_posteriors(docs, labels, host, path, target)
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
+    packed = spread(docs).select(F.struct(*map(F.col, (f"`{c}`" for c in docs.columns))).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

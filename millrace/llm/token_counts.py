@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spread
 from .bpe import Encoder, encoder_for, held_ranks, primed
 
 
@@ -73,7 +74,7 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: Cal
                 found.append([dict(zip(("start", "end", "n_tokens", "n_crossing"), x)) for x in zip(cuts, [*cuts[1:], len(text)], inside.tolist(), crossing.tolist())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_chars, pa.int64()), pa.array(found, arrow)], schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return spread(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def token_report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
