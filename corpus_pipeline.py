@@ -27,8 +27,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two or more benchmark items go."""
-    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    """Documents that hold a window of any benchmark item go; one copied item is enough."""
+    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"), least_items=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,10 @@ def test_stages_take_empty_null_and_clashing_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             left = stage(spark, docs, TINY).count()
             assert left <= len(rows)
+
+
+def test_a_document_that_copies_one_item_goes(spark):
+    item = spark.read.parquet(f"{TINY}/benchmark.parquet").orderBy("item_id").first()["text"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(1, f"Before it. {item} After it.", "en", "s", 0), (2, "nothing of any benchmark stands in here at all", "en", "s", 0)], schema)
+    assert [r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, TINY).collect()] == [2]
