@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,17 +124,22 @@ def spanning_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
                 part[part == part[x]] = part[d]
 
 
+def _text_hash() -> Column:
+    """Tells apart the texts of one id, or of rows without an id; equal texts have equal sets."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id, n_shingles, sketch."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("set_id", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    """doc_id, text_hash, set_id, n_shingles, sketch."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array(map(set_id, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            sets = [shingles(t.as_py()) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(map(set_id, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return spread(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, schema)
+    return spread(docs.select("doc_id", _text_hash(), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
@@ -152,16 +157,22 @@ def _leaders(classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of the wanted (node, doc_id, set_id), recomputed from the texts."""
+    """(node, hashes) of the wanted (node, doc_id, text_hash, set_id), recomputed from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that repeat an id and a text, or a text without an id
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column("text")]
-            # A repeated id may stand for other texts.
-            good = [i for i, s in enumerate(sets) if set_id(s) == batch.column("set_id")[i].as_py()]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(good, pa.int64())), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["node", "hashes"])
+            nodes, hashes = [], []
+            for node, wants, text in zip(batch.column("node").to_pylist(), batch.column("set_id"), batch.column("text")):
+                if node not in done and set_id(s := shingles(text.as_py())) == wants.as_py():
+                    done.add(node)
+                    nodes.append(node)
+                    hashes.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("node", "set_id", "text").mapInArrow(run, "node bigint, hashes binary")
+    texts = docs.select(F.col("doc_id").alias("_id"), _text_hash().alias("_hash"), F.col("text").cast("string").alias("text"))
+    found = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_hash"] == wanted["text_hash"]))
+    return found.select("node", "set_id", "text").mapInArrow(run, "node bigint, hashes binary")
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -180,8 +191,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     have no shingles and link with nothing. Rows that repeat an id and a text share their fate; a null id
     belongs to its component but never names it, and is kept only where no id does. Other columns are not read.
     """
+    return _decided(docs).drop("text_hash")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` and text_hash."""
     seen = saved(_sketched(docs))
-    some = seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    some = seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(some.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
     members = saved(_leaders(classes))
     totals = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -189,23 +205,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("node", "leader"), F.col("parts")).cast("int")
     tasks = blocks.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = saved(tasks.select("leader", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    wanted = saved(tasks.select("node").distinct().join(classes.select("node", "doc_id", "set_id"), "node"))
+    wanted = saved(tasks.select("node").distinct().join(classes.select("node", "doc_id", "text_hash", "set_id"), "node"))
     sets = saved(_full_sets(docs, sized_broadcast(wanted, wanted.count(), BROADCAST_CANDIDATES)))
     links = tasks.join(sets, "node").groupBy("leader", "i", "j").applyInArrow(_links, "a bigint, b bigint")
     labels = components(saved(links))
     named = classes.select("set_id", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     told = named.join(least, "label").select("set_id", "component_id")
-    out = seen.select("doc_id", "n_shingles", "set_id").join(told, "set_id", "left")
+    out = seen.select("doc_id", "text_hash", "n_shingles", "set_id").join(told, "set_id", "left")
     alone = F.col("n_shingles") == 0
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id")
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "set_id", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept: of each component the row with the smallest id."""
-    gone = saved(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    left = packed.join(sized_broadcast(gone, gone.count(), BROADCAST_CANDIDATES * 4), packed["row.doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-    return left.select("row.*")
+    """The rows of ``docs``, all columns, that are kept: of each component the rows with the smallest id.
+
+    Rows are told apart by id and text, so texts that share an id, or have none, go or stay on their own.
+    """
+    gone = saved(_decided(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _text_hash())
+    same = packed["row.doc_id"].eqNullSafe(gone["_id"]) & (packed["text_hash"] == gone["_hash"])
+    return packed.join(sized_broadcast(gone, gone.count(), BROADCAST_CANDIDATES * 4), same, "left_anti").select("row.*")

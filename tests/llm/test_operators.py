@@ -167,6 +167,18 @@ def test_window_entropy(spark):
         assert h == pytest.approx(brute_entropy(w), abs=1e-9)
 
 
+def test_near_copies_without_ids_or_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    base, near, other = " ".join(words), " ".join([*words[:-1], "v"]), " ".join(f"x{i}" for i in range(100))
+    kept = lambda rows: {(r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(table(spark, [t for _, t in rows], CLASHING, ids=[i for i, _ in rows])).collect()}
+    # The same words with other white space, beside unrelated texts without an id.
+    assert kept([(1, base), (None, base.replace(" ", "  ")), (None, other), (None, None)]) == {(1, base), (None, other), (None, None)}
+    # One id with two texts, one of which is a near copy.
+    assert kept([(1, base), (2, near), (2, other)]) == {(1, base), (2, other)}
+    # A class without any id links with its near copy.
+    assert kept([(1, base), (None, near), (None, near), (None, other)]) == {(1, base), (None, other)}
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     words, hit, found = split(text), set(), set()
