@@ -129,12 +129,17 @@ def reshard(rows: DataFrame, old_shard: str, size: str, key: str, capacities: li
 def rewrite_affected(rows: DataFrame, path: str) -> None:
     """Writes the rows of every shard that gained or lost rows, one folder a shard; other shards' files stand.
 
-    ``rows`` come from ``reshard`` with the old shard in ``old_shard``.
+    ``rows`` come from ``reshard`` with the old shard in ``old_shard``. Folders of shards that lost all their
+    rows are deleted once the others are written.
     """
-    moved = rows.where("moved")
-    touched = moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    hit = [r["shard"] for r in touched.collect()]  # shard numbers, not rows
-    rows.where(F.col("shard").isin(hit)).drop("moved", "old_shard").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    old = F.coalesce(F.col("old_shard"), F.lit(0)).cast("int")
+    pairs = rows.groupBy(old.alias("old"), "shard").agg(F.max("moved").alias("moved")).collect()  # shard numbers, not rows
+    hit = {k for r in pairs if r["moved"] for k in (r["old"], r["shard"])}
+    rows.where(F.col("shard").isin(list(hit))).drop("moved", "old_shard").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    spark = rows.sparkSession
+    for k in hit - {r["shard"] for r in pairs}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -317,6 +317,18 @@ def test_sharding(spark, tmp_path):
     assert sorted(r["size"] for r in sharding.shard_documents(odd).collect()) == [1, 1, 2, 2]
 
 
+@pytest.mark.parametrize("capacities", [[1, 1], [1, 0, 1, 1], [1, 0, 0, 0, 3, 2]])
+def test_resharding_in_place_leaves_each_row_once(spark, tmp_path, capacities):
+    path = str(tmp_path / "s")
+    before = {i: i % 4 for i in range(200)}
+    spark.createDataFrame([(i, 10 + i % 7, k) for i, k in before.items()], "doc_id bigint, size bigint, shard int").write.partitionBy("shard").parquet(path)
+    old = spark.read.parquet(path).withColumnRenamed("shard", "old_shard")
+    sharding.rewrite_affected(sharding.reshard(old, "old_shard", "size", "doc_id", capacities), path)
+    after = spark.read.parquet(path).collect()
+    assert sorted(r["doc_id"] for r in after) == sorted(before)
+    assert {r["shard"] for r in after} == {k for k, c in enumerate(capacities) if c}
+
+
 def test_line_dedup(spark):
     texts = [None, ""] + [f"Own line {i}\n  Cookie notice \n\nlast {i}" for i in range(40)] + ["Cookie notice\nCookie notice"]
     done = line_dedup.drop_boilerplate(table(spark, texts, CLASHING, sources=["s"] * len(texts)), least_pages=3)
