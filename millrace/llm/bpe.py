@@ -10,6 +10,7 @@ edit needs new entries only until they agree with the old ones over the length o
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -21,13 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread
-
-#: Words that a worker's caches keep between groups of texts, the longest one they take, and pairs of tokens
-#: known to fit or not. Workers live on between tasks, so these bound what they hold.
-CACHE, CACHE_CHARS, CACHE_PAIRS = 50_000, 64, 300_000
+#: Words that each cache of a task holds, the longest one it takes, and pairs of tokens known to fit or not.
+#: Between tasks an idle worker keeps the vocabulary only.
+CACHE, CACHE_CHARS, CACHE_PAIRS = 200_000, 64, 300_000
 #: Characters of text whose new words are encoded together, and marks that often end a word.
-PRIME_CHARS, MARKS = 16 << 20, ".,;:!?%&*#$|"
+PRIME_CHARS, MARKS = 4 << 20, ".,;:!?%&*#$|"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -128,19 +127,37 @@ class PrefixTable:
         self.vocabulary.last_tokens(self.data, self.last)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
-        """Replaces data[start:stop]; returns how many entries had to be found anew."""
-        old, shift = self.last, len(new) - (stop - start)
+        """Replaces data[start:stop]; returns how many entries had to be found anew.
+
+        Entries behind the edit depend on no more than the longest token's length of bytes and entries before them,
+        so they hold again once that many in a row have come out as they were."""
+        shift, reach, size = len(new) - (stop - start), self.vocabulary.longest, len(self.data)
         self.data = self.data[:start] + new + self.data[stop:]
-        self.last, same = old[:start], 0
-        while len(self.last) < len(self.data):
-            end = len(self.last) + 1
-            self.vocabulary.last_tokens(self.data[:end], self.last)
-            same = same + 1 if end > start + len(new) and old[end - 1 - shift] == self.last[-1] else 0
-            if same >= self.vocabulary.longest and end > self.vocabulary.longest:
-                found = end - start
-                self.last += old[end - shift :]
-                return found
-        return len(self.last) - start
+        # Only a stretch around the edit is looked at: one longest token before it, and as far behind as needed.
+        base = max(0, start - reach)
+        fresh, end, same = self.last[base:start], start, 0
+        while end < len(self.data):
+            end += 1
+            self._next(fresh, base, end)
+            old = end - 1 - shift
+            same = same + 1 if end > start + len(new) and self.last[old] == fresh[-1] else 0
+            if same >= reach:
+                break
+        self.last[start : min(end - shift, size) if end < len(self.data) else size] = fresh[start - base :]
+        return end - start
+
+    def _next(self, fresh: list[int], base: int, end: int) -> None:
+        """Appends the entry of the first ``end`` bytes to ``fresh``, which holds those from ``base`` on."""
+        v, at = self.vocabulary, end - 1
+        while True:
+            token = v.endings.get(self.data[at:end], -1)
+            if token is not None:
+                if token < 0:
+                    raise ValueError("the vocabulary lacks a byte")
+                if at == 0 or v.compatible(fresh[at - 1 - base] if at > base else self.last[at - 1], token):
+                    fresh.append(token)
+                    return
+            at -= 1
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes."""
@@ -157,7 +174,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.encode(self.lead + word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= 16 * CACHE:  # a group of texts without end
+            if len(self) >= CACHE:
                 self.clear()
             self[word] = packed
         return packed
@@ -195,14 +212,13 @@ class Encoder:
     def prime(self, texts: list[str | None]) -> None:
         """Encodes the new words of ``texts`` in sorted order: a word's table of prefixes starts from that of the
         word before, as far as both agree, so bytes that many words begin with are looked at once."""
-        for cache in (self.parts, self.spaced, self.first):
-            if len(cache) > CACHE:
-                cache.clear()
         words: set[str] = set()
         for t in texts:
             words.update((t or "").split(" "))
         cores = {w.rstrip(MARKS) for w in words if w not in self.spaced}
         matches = sorted((" " + w).encode() for w in cores if len(w) <= CACHE_CHARS and w.isalpha())
+        if len(self.parts) + len(matches) > CACHE:
+            self.parts.clear()
         before, last, v = b"", [], self.vocabulary
         for data in matches:
             shared = 0
@@ -216,6 +232,11 @@ class Encoder:
             self.parts[data.decode()] = struct.pack(f"<{len(ids)}I", *ids)
             before = data
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        for cache in (self.parts, self.spaced, self.first, self.vocabulary.known):
+            cache.clear()
+
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -256,6 +277,16 @@ def primed(encoder: Encoder, column: pa.Array) -> Iterator[str | None]:
     yield from group
 
 
+@contextlib.contextmanager
+def lent(held, pattern: str) -> Iterator[Encoder]:
+    """The worker's encoder for as long as a task runs; its caches are emptied afterwards."""
+    encoder = encoder_for(held, pattern)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+
+
 def held_ranks(spark: SparkSession, path: str):
     """The rank file, read by the driver and broadcast: a vocabulary's size does not depend on the corpus."""
     ranks = load_ranks(path)
@@ -275,17 +306,17 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(held, pattern)
-        for batch in batches:
-            counts, ids, shas, backs = [], [], [], []
-            for text in primed(encoder, batch.column(1)):
-                packed = encoder.encode(text)
-                counts.append(len(packed) // 4)
-                shas.append(hashlib.sha256(packed).hexdigest())
-                backs.append(hashlib.sha256(encoder.decode(packed)).hexdigest())
-                if keep_ids:
-                    ids.append(np.frombuffer(packed, "<i4"))
-            out = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
-
-    return spread(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, T.StructType(fields))
+        with lent(held, pattern) as encoder:
+            for batch in batches:
+                counts, ids, shas, backs = [], [], [], []
+                for text in primed(encoder, batch.column(1)):
+                    packed = encoder.encode(text)
+                    counts.append(len(packed) // 4)
+                    shas.append(hashlib.sha256(packed).hexdigest())
+                    backs.append(hashlib.sha256(encoder.decode(packed)).hexdigest())
+                    if keep_ids:
+                        ids.append(np.frombuffer(packed, "<i4"))
+                out = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, T.StructType(fields))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import MissingArgumentError
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,10 +27,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A plain scan of a small table, dealt to all cores if it has fewer partitions than there are. Only for inputs
+    of operators whose results do not depend on how rows are dealt."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters that holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct named row, so that none can clash with an operator's own."""
+    return F.struct(*map(column, docs.columns)).alias("row")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines of the cluster share; one of our own only where none is set."""
+    """The folder all machines of the cluster share. In local mode, where one machine is all there is, an own one
+    is set if none is; elsewhere that is an error, since executors would write to disks that others cannot see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise MissingArgumentError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,16 +63,16 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._saved_path = path
+    return back
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A plain scan that has fewer partitions than there are cores, dealt to all of them; anything larger, and any
-    plan that shuffles already, as it is."""
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def discard(df: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for ``df``, once no plan reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, saved, spread
+from .common import ascii_lower, packed_row, saved
 
 BLOCK_BYTES = 4096
 BUCKETS = 1 << 16
@@ -55,7 +55,7 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
 
     Null texts count as empty; null and repeated ids are allowed.
     """
-    blocks = _blocks(spread(docs), block_bytes)
+    blocks = _blocks(docs, block_bytes)
     names = _named(blocks.select("h", "block").distinct(), "h", ["h", "block"])
     names = saved(names.select("h", "name", "same", F.when(F.col("same") > 1, F.col("block")).alias("block")))
     alone = blocks.drop("block").join(names.where("same = 1").select("h", "name"), "h")
@@ -98,11 +98,15 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps."""
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps: of equal texts the one with the largest id.
+
+    Null texts are equal to empty ones; of rows that repeat an id and a text one stays, and null ids stay only where
+    no equal text has an id. An empty table stays empty. Columns may have any names, dots included.
+    """
     rows = saved(exact_dedup(docs))
     said = rows.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
     repeated = rows.where("not kept and doc_id <=> keep_id").limit(1).count()
-    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), identity_key(docs["text"]).alias("_key"))
+    keyed = docs.select(packed_row(docs), identity_key(F.col("text")).alias("_key"))
     kept = keyed.join(said, keyed["row.doc_id"].eqNullSafe(said["_id"]) & (keyed["_key"] == said["_sha"]), "left_semi")
     if repeated:  # a row of the same id and text
         kept = kept.withColumn("_id", F.col("row.doc_id")).dropDuplicates(["_id", "_key"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized_broadcast
+from .common import column, packed_row, saved, sized_broadcast
 
 RATIO, LEAST_PAGES = 0.02, 5
 #: Boilerplate lines up to which the sets are broadcast.
@@ -28,7 +28,7 @@ def _digest(line: Column) -> Column:
 def boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, digest, pages, host_pages) of the lines on more than ``ratio`` of a host's pages and on at least
     ``least_pages`` of them. Lines are compared without the spaces around them; blank ones never count."""
-    pages = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _digest)).alias("digests"))
+    pages = docs.select(column(host).alias("host"), F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _digest)).alias("digests"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     counts = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
     totals = totals.withColumnRenamed("host", "_host")
@@ -44,8 +44,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     found = saved(boilerplate(docs, host, ratio, least_pages).select("host", "digest"))
     sets = found.groupBy("host").agg(F.collect_list("digest").alias("digests"))
     sets = sized_broadcast(sets, found.count(), BROADCAST_LINES)
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _lines(docs["text"]).alias("lines"))
-    joined = packed.join(sets, packed[f"row.{host}"].eqNullSafe(sets["host"]), "left")
+    packed = docs.select(packed_row(docs), _lines(F.col("text")).alias("lines"))
+    joined = packed.join(sets, packed["row"][host].eqNullSafe(sets["host"]), "left")
     kept = F.when(F.col("digests").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("digests", _digest(x))))
     done = joined.select("row", "lines", kept.alias("kept"))
     return done.select("row", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))

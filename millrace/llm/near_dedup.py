@@ -11,9 +11,12 @@ pair that shares a listed value shares its leader.
 
 Within a leader's members, estimates from union sketches, computed against all members at once, rule out
 dissimilar pairs, and exact Jaccard on the full sets confirms the rest. Members that are connected already
-need no more comparing, so a family of near copies costs one comparison against its centre, not all pairs.
-Only the confirmed links that join two parts leave a task. Large leaders are cut into blocks, and each pair of
-blocks is a task, so no task holds more than two blocks.
+need no more comparing, and only the confirmed links that join two parts leave a task.
+
+Large leaders are cut into blocks. In a first pass each block is a task, together with the leader: work in
+proportion to the members, which connects a family of near copies to its centre. Only members that this leaves
+apart from their leader, the residue, go on: blocks of them meet each block of all members. So no task holds more
+than two blocks, and only a family that really falls into many parts takes more than linear work.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, sized_broadcast, spread
+from .common import packed_row, saved, sized_broadcast
 from .graph import components
 
 WORDS, K = 5, 64
@@ -36,7 +39,7 @@ WORDS, K = 5, 64
 #: that the sketch holds whole, and for them the exact bound ceil(0.75 n) holds without any chance.
 OVERLAP, WHOLE = 26, 48
 #: Shingles that a block of members holds on average, and candidates up to which their ids are broadcast.
-BLOCK_SHINGLES, BROADCAST_CANDIDATES = 250_000, 200_000
+BLOCK_SHINGLES, BROADCAST_CANDIDATES = 60_000, 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -83,8 +86,11 @@ def union_estimates(sketch: np.ndarray, others: np.ndarray, sizes: np.ndarray, k
     return (common & (rank <= k)).sum(1) / np.maximum(union, 1)
 
 
-def spanning_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
-    """Pairs of positions with exact Jaccard of 0.75 or more that connect all that such pairs connect."""
+def spanning_links(sets: list[np.ndarray], part: np.ndarray | None = None, sources: np.ndarray | None = None, k: int = K) -> list[tuple[int, int]]:
+    """Pairs of positions with exact Jaccard of 0.75 or more that connect all that such pairs connect.
+
+    ``part``: numbers of parts that are connected already, none by default. ``sources``: looks for the pairs that
+    have at least one of these members only."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     kept = np.minimum(sizes, k)
@@ -98,13 +104,14 @@ def spanning_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
     posting = owner[order]
     begin = np.concatenate(([0], np.cumsum(count)))
     of = np.split(number, np.cumsum(sizes)[:-1])
-    part = np.arange(m)
-    todo = np.where(100 * shared >= 75 * sizes, 1, 0).astype(bool)
+    every = sources is None
+    part = np.arange(m) if part is None else np.unique(part, return_inverse=True)[1]
+    todo = (100 * shared >= 75 * sizes) & (True if every else sources)
     links: list[tuple[int, int]] = []
     rank = np.argsort(-shared / np.maximum(sizes, 1), kind="stable")
     while True:
-        largest = np.bincount(part, minlength=m).argmax()
-        open_ = rank[todo[rank] & (part[rank] != largest)]
+        # Where all members are sources, those outside the largest part find what links it to them.
+        open_ = rank[todo[rank] & (part[rank] != (np.bincount(part).argmax() if every else -1))]
         if not len(open_):
             return links
         d = open_[0]
@@ -134,12 +141,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HASHES.clear()  # what another task left
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(map(set_id, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+        _HASHES.clear()  # workers live on
 
-    return spread(docs.select("doc_id", _text_hash(), F.col("text").cast("string"))).mapInArrow(run, schema)
+    return docs.select("doc_id", _text_hash(), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
@@ -169,21 +178,60 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     nodes.append(node)
                     hashes.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
+        _HASHES.clear()
 
     texts = docs.select(F.col("doc_id").alias("_id"), _text_hash().alias("_hash"), F.col("text").cast("string").alias("text"))
     found = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_hash"] == wanted["text_hash"]))
     return found.select("node", "set_id", "text").mapInArrow(run, "node bigint, hashes binary")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Adds to (leader, node, n) of leaders with two members or more: parts, the blocks of the leader, and block."""
+    totals = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sized = members.join(totals.select("leader", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("parts")), "leader")
+    return sized.withColumn("block", F.pmod(F.xxhash64("node", "leader"), F.col("parts")).cast("int"))
+
+
+def _first_tasks(blocks: DataFrame) -> DataFrame:
+    """(leader, i, j, node, label, source): each block once, as block i, and the leader with each of its blocks."""
+    leaders = blocks.select("leader", "parts").distinct().select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("leader").alias("node"))
+    both = blocks.select("leader", F.col("block").alias("i"), "node").unionByName(leaders)
+    return both.select("leader", "i", F.lit(-1).alias("j"), "node", F.col("node").alias("label"), F.lit(True).alias("source"))
+
+
+def _residue_tasks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for members that are not connected to their leader of several blocks: block i of them (sources)
+    with block j of all members. ``labels``: (node, label) of all nodes that have links so far."""
+    named = blocks.where("parts > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    leading = named.where("node = leader").select("leader", F.col("label").alias("led"))
+    residue = saved(named.join(leading, "leader").where("label <> led").drop("led"))
+    rests = residue.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("rests"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = residue.join(rests, "leader").select("leader", F.pmod(F.xxhash64("leader", "node"), F.col("rests")).cast("int").alias("i"), upto("parts").alias("j"), "node", "label", F.lit(True).alias("source"))
+    others = named.join(rests, "leader").select("leader", upto("rests").alias("i"), F.col("block").alias("j"), "node", "label", F.lit(False).alias("source"))
+    return mine.unionByName(others)
+
+
 def _links(table: pa.Table) -> pa.Table:
-    nodes = table.column("node").to_pylist()
-    first = {x: i for i, x in enumerate(nodes)}
-    nodes = list(first)
-    sets = [np.frombuffer(table.column("hashes")[first[x]].as_py(), np.uint64) for x in nodes]
-    found = spanning_links(sets) if len(nodes) > 1 else []
+    rows: dict[int, int] = {}
+    sources: set[int] = set()
+    for at, (node, source) in enumerate(zip(table.column("node").to_pylist(), table.column("source").to_pylist())):
+        rows.setdefault(node, at)
+        if source:
+            sources.add(node)
+    nodes = list(rows)
+    hashes, labels = table.column("hashes"), table.column("label").to_numpy()
+    sets = [np.frombuffer(hashes[at].as_py(), np.uint64) for at in rows.values()]
+    only = None if len(sources) == len(nodes) else np.array([x in sources for x in nodes])
+    found = spanning_links(sets, labels[list(rows.values())], only) if len(nodes) > 1 else []
     return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
 
+def _found(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) that the tasks confirm."""
+    return saved(tasks.join(sets, "node").groupBy("leader", "i", "j").applyInArrow(_links, "a bigint, b bigint"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links), kept (it is its own), set_id.
 
@@ -200,15 +248,15 @@ def _decided(docs: DataFrame) -> DataFrame:
     some = seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(some.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
     members = saved(_leaders(classes))
-    totals = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = members.join(totals, "leader").withColumn("parts", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
-    block = F.pmod(F.xxhash64("node", "leader"), F.col("parts")).cast("int")
-    tasks = blocks.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = saved(tasks.select("leader", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    wanted = saved(tasks.select("node").distinct().join(classes.select("node", "doc_id", "text_hash", "set_id"), "node"))
+    blocks = saved(_blocks(members))
+    wanted = saved(blocks.select("node").distinct().join(classes.select("node", "doc_id", "text_hash", "set_id"), "node"))
     sets = saved(_full_sets(docs, sized_broadcast(wanted, wanted.count(), BROADCAST_CANDIDATES)))
-    links = tasks.join(sets, "node").groupBy("leader", "i", "j").applyInArrow(_links, "a bigint, b bigint")
-    labels = components(saved(links))
+    links = _found(_first_tasks(blocks), sets)
+    labels = components(links)
+    if blocks.where("parts > 1").limit(1).count():
+        more = saved(_residue_tasks(blocks, labels))
+        if more.limit(1).count():
+            labels = components(links.unionByName(_found(more, sets)))
     named = classes.select("set_id", "node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     told = named.join(least, "label").select("set_id", "component_id")
@@ -222,9 +270,11 @@ def _decided(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: of each component the rows with the smallest id.
 
-    Rows are told apart by id and text, so texts that share an id, or have none, go or stay on their own.
+    Rows are told apart by id and text, so texts that share an id, or have none, go or stay on their own. Null and
+    empty texts stay; rows that repeat an id and a text share their fate; an empty table stays empty. Columns may
+    have any names, dots included.
     """
     gone = saved(_decided(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _text_hash())
+    packed = docs.select(packed_row(docs), _text_hash())
     same = packed["row.doc_id"].eqNullSafe(gone["_id"]) & (packed["text_hash"] == gone["_hash"])
     return packed.join(sized_broadcast(gone, gone.count(), BROADCAST_CANDIDATES * 4), same, "left_anti").select("row.*")

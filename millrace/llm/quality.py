@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, sized_broadcast, spread
+from .common import column, packed_row, saved, sized_broadcast
 
 #: Labelled documents that the classifier is fitted on, at most; site rates use all labels.
 SAMPLE = 20_000
@@ -113,7 +113,7 @@ def _strength(groups: DataFrame, centre: Column) -> float:
 def site_posteriors(docs: DataFrame, labels: DataFrame, host: str, path: str, target: str = "quality") -> tuple[DataFrame, float]:
     """(host, path, host_rate, path_rate, n) for every site of ``docs``, and the global rate (smoothed by half
     a label each way). Null hosts and paths are sites of their own."""
-    where = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path")).join(_labels(labels, target), "doc_id", "left")
+    where = docs.select("doc_id", column(host).alias("host"), column(path).alias("path")).join(_labels(labels, target), "doc_id", "left")
     sites = saved(where.groupBy("host", "path").agg(F.count("_y").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("good")))
     total = sites.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mu = ((total["good"] or 0) + 0.5) / ((total["n"] or 0) + 1)
@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     """
     model = fit_classifier(docs, labels, target)
     sites, mu = site_posteriors(docs, labels, host, path, target)
-    packed = spread(docs).select(F.struct(*map(F.col, (f"`{c}`" for c in docs.columns))).alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
 
     seen = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("evidence", T.DoubleType())]))
     small = sized_broadcast(sites.select("host", "path", "host_rate", "path_rate"), sites.count(), BROADCAST_SITES)
-    joined = seen.join(small, seen[f"row.{host}"].eqNullSafe(small["host"]) & seen[f"row.{path}"].eqNullSafe(small["path"]), "left")
+    joined = seen.join(small, seen["row"][host].eqNullSafe(small["host"]) & seen["row"][path].eqNullSafe(small["path"]), "left")
     logit = lambda p: F.log(p / (1 - p))
     bounded = F.least(F.greatest(F.coalesce("path_rate", F.lit(mu)), F.lit(1e-6)), F.lit(1 - 1e-6))
     p = 1 / (1 + F.exp(-(F.col("evidence") + logit(bounded) - math.log(mu / (1 - mu)))))
@@ -152,5 +152,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier keeps."""
+    """The rows of ``docs``, all columns, that the classifier keeps.
+
+    Nulls, empty texts and contradicting labels count as in ``score_quality``; repeated rows share their fate; a
+    probability on the threshold is kept; an empty table stays empty.
+    """
     return score_quality(docs, labels).where("kept").select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import packed_row
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -92,7 +92,7 @@ def find_secrets(docs: DataFrame, window: int = WINDOW, limits: dict[str, float]
     pattern fits; a candidate inside a base span is not reported again. Null text is empty. Input columns may
     have any names: they stay inside ``row``.
     """
-    packed = spread(docs).select(F.struct(*map(F.col, (f"`{c}`" for c in docs.columns))).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    packed = docs.select(packed_row(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     limits = limits or LIMITS
     words = _spans(text, ASSIGN, "assign", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread
-from .bpe import Encoder, encoder_for, held_ranks, primed
+from .bpe import Encoder, held_ranks, lent, primed
 
 
 def lines(text: str) -> list[int]:
@@ -58,23 +57,25 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: Cal
     held = held_ranks(docs.sparkSession, ranks_path)
     part = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "n_tokens", "n_crossing")])
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("sections", T.ArrayType(part))])
-    arrow = pa.list_(pa.struct([(f.name, pa.int64()) for f in part]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(held, pattern)
-        for batch in batches:
-            n_tokens, n_chars, found = [], [], []
-            for text in primed(encoder, batch.column(1)):
-                text = text or ""
-                starts, ends = token_spans(encoder, text)
-                cuts = sections(text)
-                inside, crossing = attribute(starts, ends, cuts, len(text))
-                n_tokens.append(len(starts))
-                n_chars.append(len(text))
-                found.append([dict(zip(("start", "end", "n_tokens", "n_crossing"), x)) for x in zip(cuts, [*cuts[1:], len(text)], inside.tolist(), crossing.tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_chars, pa.int64()), pa.array(found, arrow)], schema.names)
-
-    return spread(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, schema)
+        with lent(held, pattern) as encoder:
+            for batch in batches:
+                n_tokens, n_chars, found = [], [], []
+                for text in primed(encoder, batch.column(1)):
+                    text = text or ""
+                    starts, ends = token_spans(encoder, text)
+                    cuts = sections(text)
+                    inside, crossing = attribute(starts, ends, cuts, len(text))
+                    n_tokens.append(len(starts))
+                    n_chars.append(len(text))
+                    found.append(np.array([cuts, [*cuts[1:], len(text)], inside, crossing], np.int64))
+                offsets = pa.array(np.concatenate(([0], np.cumsum([f.shape[1] for f in found]))), pa.int32())
+                every = np.concatenate(found, 1) if found else np.empty((4, 0), np.int64)
+                parts = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(map(pa.array, every)), [f.name for f in part]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_chars, pa.int64()), parts], schema.names)
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def token_report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

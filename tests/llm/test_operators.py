@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontamination, exact_dedup, language_model, line_dedup, near_dedup, quality, secrets, sharding, token_counts
 from millrace.llm.graph import components
@@ -360,37 +361,101 @@ def test_language_model(spark):
     assert sum(better) > 0
 
 
-def test_gated_model_gradients_and_normalisation():
+def plain_scores(model, units, text, counts):
+    """log10 P of a text, word by word in double precision, and of every unit after it."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    n, h, total = len(p["u"]), np.zeros(len(p["u"])), 0.0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def log_units(h):
+        inside = p["ww"] @ h + p["bw"]
+        of_class = p["wc"] @ h + p["bc"]
+        of_class -= np.log(np.exp(of_class).sum())
+        out = np.empty(len(inside))
+        for k in range(len(of_class)):
+            part = slice(k * language_model.CLASS, (k + 1) * language_model.CLASS)
+            out[part] = of_class[k] + inside[part] - np.log(np.exp(inside[part]).sum())
+        return out
+
+    for word in language_model.tokens(text):
+        unit, shared = units.find(np.array([language_model.word_hash(word)]), np.array([language_model.ending(word)]))
+        total += log_units(h)[unit[0]] / math.log(10)
+        if shared[0]:
+            total += math.log10((counts[word] + 0.5) / units.masses[language_model.ending(word)])
+        a, b = p["e"][unit[0]] @ p["w"] + p["b"], h @ p["u"]
+        z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+        c = np.tanh(a[2 * n :] + r * b[2 * n :])
+        h = z * h + (1 - z) * c
+    return total, log_units(h)
+
+
+def test_language_model_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARE", 1 / 100)  # some words have units of their own, most do not
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(language_model, "GROUP_TOKENS", 300)
+    monkeypatch.setattr(language_model, "FAN_IN", 2)
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("al", "Be", "ga", "É", "x") for b in ("ta", "mma", "ing", "9", "ßen")]
+    texts = [None, "", "Same text here", "Same text here", *(" ".join(rng.choice(words[: 5 + i % 20]) for _ in range(rng.randint(1, 60))) for i in range(90)), " ".join(rng.choice(words) for _ in range(3000))]
+    docs = table(spark, texts, CLASHING).union(table(spark, texts[-2:], CLASHING))  # repeated rows, and a long text
+    training = F.col("doc_id") % 4 != 1
+    fitted = language_model.learn(docs, training, 6)
+    counts = Counter(w for i, t in [*enumerate(texts), *enumerate(texts[-2:])] if i % 4 != 1 for w in language_model.tokens(t))
+    assert (fitted.n, fitted.v) == (sum(counts.values()), len(counts)) and 1 < len(fitted.units.hashes) < len(counts)
+    seen = language_model.scored(fitted, "bigint").collect()
+    assert len(seen) == len(texts) + 2
+    wanted = Counter((i, round(plain_scores(fitted.model, fitted.units, t, counts)[0], 2)) for i, t in [*enumerate(texts), *enumerate(texts[-2:])])
+    for r in seen:
+        assert any((r["doc_id"], round(r["score"] + d, 2)) in wanted for d in (-0.01, 0, 0.01)), r
+    # Probabilities of all words and of the unknown ones of each ending add up to 1 after any text.
+    _, after = plain_scores(fitted.model, fitted.units, texts[20], counts)
+    alone = {int(u) for u in fitted.units.places}
+    inside = Counter({k: 0.5 for k in range(language_model.ENDINGS)})
+    for w, c in counts.items():
+        if fitted.units.find(np.array([language_model.word_hash(w)]), np.array([0]))[1][0]:
+            inside[language_model.ending(w)] += c + 0.5
+    assert all(inside[k] == pytest.approx(fitted.units.masses[k]) for k in inside)
+    assert np.exp(after).sum() == pytest.approx(1) and alone.isdisjoint(map(int, fitted.units.endings))
+
+
+def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    scores = []
+    for parts in (1, 7):
+        monkeypatch.setattr(language_model, "BLOCK_BYTES", 200_000 // parts)
+        scores.append({r["doc_id"]: r["score"] for r in language_model.score_documents(docs.repartition(parts, F.xxhash64("doc_id"))).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[1][k] == pytest.approx(s, rel=1e-5) for k, s in scores[0].items())
+
+
+def test_gated_model_gradients():
     rng = np.random.default_rng(0)
-    model = language_model.GatedModel.initial([9, 8, 7, 5, 3], 4, 3)
-    model.p = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float64) for k, v in model.p.items()}
-    x = rng.integers(0, 5 + language_model.OTHER, (6, 4))
-    y, first = np.minimum(x, 5), rng.random((6, 4)) < 0.3
-    h = np.zeros((4, 3))
+    model = language_model.GatedModel.initial([9.0] * 70 + [5.0] * 60, 5)
+    model.p = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in model.p.items()}
+    x, first = rng.integers(0, 130, (6, 4)), rng.random((6, 4)) < 0.3
+    h = np.zeros((4, 5), np.float32)
 
     def total():
-        states, _, _ = model.run(x, first, h)
-        return model.outputs(states.reshape(-1, 3).astype(float), y.ravel(), False)[0].sum()
+        states, _ = model.run(x, first, h)
+        return model.outputs(states[:-1].reshape(-1, 5), x.ravel(), False)[0].astype(float).sum()
 
-    grad, _ = model.gradients(x, y, first, h)
-    for k in ("u", "wc", "ww", "bc", "bw", "a"):
-        at = (int(x[0, 0]), 1) if k == "a" else (0,) * model.p[k].ndim
-        model.p[k][at] += 1e-3
+    grad, _ = model.gradients(x, first, h)
+    for k in ("e", "w", "u", "b", "wc", "ww", "bc", "bw"):
+        at = (int(x[0, 0]), 1) if k in ("e", "ww") else (int(x[0, 0]),) if k == "bw" else (0,) * model.p[k].ndim
+        model.p[k][at] += 1e-2
         up = total()
-        model.p[k][at] -= 2e-3
+        model.p[k][at] -= 2e-2
         down = total()
-        model.p[k][at] += 1e-3
-        assert grad[k][at] == pytest.approx((up - down) / 2e-3, abs=2e-2)
-    state = rng.standard_normal((1, 3))
-    every = [model.outputs(state.repeat(1, 0), np.array([t]), False)[0][0] for t in range(6)]
-    assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
+        model.p[k][at] += 1e-2
+        assert grad[k][at] == pytest.approx((up - down) / 2e-2, abs=2e-2), k
 
 
 def test_scores_do_not_depend_on_windows_or_lanes():
     rng = np.random.default_rng(3)
-    model = language_model.GatedModel.initial([5] * 40, 9)
+    model = language_model.GatedModel.initial([5.0] * 140)
     model.p["wc"] += rng.standard_normal(model.p["wc"].shape).astype(np.float32)
-    texts = [rng.integers(0, 60, n).astype(np.int32) for n in (1, 3, 70, 200, 5)]
+    texts = [rng.integers(0, 140, n).astype(np.int32) for n in (1, 3, 70, 200, 5)]
     together = language_model.log_likelihoods(model, texts, 3)
     alone = [language_model.log_likelihoods(model, [t], 1)[0] for t in texts]
     assert together == pytest.approx(alone, rel=1e-4)

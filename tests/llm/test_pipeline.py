@@ -38,7 +38,7 @@ def test_stages(spark):
     assert apart.columns == docs.columns and ids(apart) == want
 
     clean = decontaminate(spark, apart, TINY)
-    want = [i for i in want if not brute_contamination(texts[i], items)[4]]
+    want = [i for i in want if not brute_contamination(texts[i], items)[2]]  # one item is enough
     assert clean.columns == docs.columns and ids(clean) == want
 
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
