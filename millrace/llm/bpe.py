@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import prepare
+
 #: Words that each cache of a task holds, the longest one it takes, and pairs of tokens known to fit or not.
 #: Between tasks an idle worker keeps the vocabulary only.
 CACHE, CACHE_CHARS, CACHE_PAIRS = 200_000, 64, 300_000
@@ -236,6 +238,7 @@ class Encoder:
         """Empties the caches."""
         for cache in (self.parts, self.spaced, self.first, self.vocabulary.known):
             cache.clear()
+        pa.default_memory_pool().release_unused()
 
     def encode(self, text: str | None) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
@@ -289,6 +292,7 @@ def lent(held, pattern: str) -> Iterator[Encoder]:
 
 def held_ranks(spark: SparkSession, path: str):
     """The rank file, read by the driver and broadcast: a vocabulary's size does not depend on the corpus."""
+    prepare(spark)
     ranks = load_ranks(path)
     return spark.sparkContext.broadcast((hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), ranks))
 

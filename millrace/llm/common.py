@@ -14,8 +14,17 @@ from ..errors import MissingArgumentError
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def visible(spark: SparkSession) -> None:
-    """Lets Python workers find this package in the folder where the driver has it, whatever their own path is."""
+#: Rows that go to a Python worker at once, unless the session sets another number than Spark's own. Texts are long:
+#: at Spark's 10,000 a batch of them, held on both sides, is much of an executor's memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers find this package in the folder where the driver has it, whatever their own path is, and
+    has texts sent to them in smaller batches."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -23,7 +32,7 @@ def visible(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    visible(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, packed_row, saved
+from .common import discard, packed_row, prepare, saved
 
 WINDOW = 8
 #: Words that stand between the beginnings of two pieces; a piece has WINDOW - STEP + 1 words.
@@ -217,6 +217,7 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     an item without words has no window; repeated items count once; repeated rows are scanned each. Input columns
     may have any names: they stay inside ``row``.
     """
+    prepare(docs.sparkSession)
     packed = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"))
     dealt, parts = _parts(benchmark, block_bytes)
     last = None

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved
+from .common import discard, prepare, saved
 
 #: Least share of the training tokens of a word with a unit of its own: 16,384 words at most can have it.
 SHARE = 1 / 16384
@@ -59,11 +59,11 @@ def ending(word: bytes) -> int:
 
 class GatedModel:
     """Parameters by name in float32: unit vectors e, input and recurrent weights w, u and biases b of the update
-    gate, the reset gate and the candidate; weights and biases of classes (wc, bc) and of units in them (ww, bw)."""
+    gate, the reset gate and the candidate; weights of classes (wc) and of units (ww), the bias last. Units without
+    a word fill up the last class; their bias gives them no share."""
 
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = parameters
-        self.size, self.classes = len(parameters["bw"]), len(parameters["bc"])
 
     @classmethod
     def initial(cls, counts: list[float], units: int = UNITS, seed: int = 11) -> GatedModel:
@@ -71,11 +71,12 @@ class GatedModel:
         rng, mass, n = np.random.default_rng(seed), np.array(counts, float) + 0.5, units
         classes = np.add.reduceat(mass, np.arange(0, len(mass), CLASS))
         draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-        b = np.zeros(3 * n, np.float32)
-        b[:n] = 1  # at first the state changes slowly
-        p = {"e": draw(0.5, len(mass), n), "w": draw(n**-0.5, n, 3 * n), "u": draw(0.5 * n**-0.5, n, 3 * n), "b": b}
-        p |= {"wc": np.zeros((len(classes), n), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32)}
-        return cls(p | {"ww": np.zeros((len(mass), n), np.float32), "bw": np.log(mass / mass.max()).astype(np.float32)})
+        p = {"e": draw(0.5, len(mass), n), "w": draw(n**-0.5, n, 3 * n), "u": draw(0.5 * n**-0.5, n, 3 * n), "b": np.zeros(3 * n, np.float32)}
+        p["b"][:n] = 1  # at first the state changes slowly
+        p |= {"wc": np.zeros((len(classes), n + 1), np.float32), "ww": np.zeros((len(classes) * CLASS, n + 1), np.float32)}
+        p["wc"][:, n], p["ww"][:, n] = np.log(classes / classes.sum()), -60
+        p["ww"][: len(mass), n] = np.log(mass / mass.max())
+        return cls(p)
 
     def copy(self) -> GatedModel:
         return GatedModel({k: v.copy() for k, v in self.p.items()})
@@ -110,46 +111,53 @@ class GatedModel:
 
     def outputs(self, h: np.ndarray, y: np.ndarray, gradients: bool) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray | None]:
         """ln P of each target unit given its state; with the gradients of its sum, also by the states."""
-        wc, bc, ww, bw = (self.p[k] for k in ("wc", "bc", "ww", "bw"))
-        c = (y // CLASS).astype(np.uint16)
-        logp, dh = np.empty(len(y), h.dtype), np.empty_like(h) if gradients else None
-        grad = {k: np.zeros_like(self.p[k]) for k in ("wc", "bc", "ww", "bw")} if gradients else {}
-        wct, rows = np.ascontiguousarray(wc.T), np.arange(4096)
-
-        def softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """ln P of the targets ``at``; turns ``logits`` into gradients. Biases start as logarithms of shares and
-            states lie within 1, so exponentials need no shift, only a bound."""
+        wc, ww, n = self.p["wc"], self.p["ww"], h.shape[1]
+        # By class, so that the units of a class are one product; a last 1 takes the bias.
+        order = np.argsort((y // CLASS).astype(np.uint16), kind="stable")
+        y = y[order]
+        c, at = y // CLASS, y % CLASS
+        ordered = np.ones((len(y), n + 1), h.dtype)
+        ordered[:, :n] = h[order]
+        cuts = np.searchsorted(c, np.arange(len(wc) + 1))
+        parts = [(slice(cuts[k], cuts[k + 1]), slice(k * CLASS, (k + 1) * CLASS)) for k in np.flatnonzero(np.diff(cuts))]
+        said, dh = np.empty(len(y), h.dtype), np.empty_like(ordered) if gradients else None
+        grad = {"wc": np.zeros_like(wc), "ww": np.zeros_like(ww)} if gradients else {}
+        wct, every = np.ascontiguousarray(wc.T), np.arange(4096)
+
+        def softmax(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+            """ln P of the targets; turns ``logits`` into gradients. Biases start as logarithms of shares and states
+            lie within 1, so exponentials need no shift, only a bound."""
             np.minimum(logits, 60, out=logits)
-            each = rows[: len(logits)] if len(logits) <= len(rows) else np.arange(len(logits))
-            said = logits[each, at]
+            each = every[: len(logits)]
+            told = logits[each, target]
             np.exp(logits, out=logits)
             total = logits @ np.ones(logits.shape[1], logits.dtype)
             if gradients:
                 logits *= (-1 / total)[:, None]
-                logits[each, at] += 1
-            return said - np.log(total)
-
-        for a in range(0, len(y), len(rows)):  # slices that stay in the processor's cache
-            own = slice(a, a + len(rows))
-            e = h[own] @ wct
-            e += bc
-            logp[own] = softmax(e, c[own])
+                logits[each, target] += 1
+            return told - np.log(total)
+
+        inside = np.empty((len(y), CLASS), h.dtype)
+        for rows, units in parts:
+            np.matmul(ordered[rows], ww[units].T, out=inside[rows])
+        for a in range(0, len(y), len(every)):  # slices that stay in the processor's cache
+            own = slice(a, a + len(every))
+            e = ordered[own] @ wct
+            said[own] = softmax(e, c[own])
+            said[own] += softmax(inside[own], at[own])
             if gradients:
                 np.matmul(e, wc, out=dh[own])
-                grad["wc"] += e.T @ h[own]
-                grad["bc"] += np.ones(len(e), e.dtype) @ e
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            own, lo, hi = order[cuts[k] : cuts[k + 1]], k * CLASS, min((k + 1) * CLASS, self.size)
-            hk = h[own]
-            e = hk @ ww[lo:hi].T
-            e += bw[lo:hi]
-            logp[own] += softmax(e, y[own] - lo)
-            if gradients:
-                dh[own] += e @ ww[lo:hi]
-                grad["ww"][lo:hi], grad["bw"][lo:hi] = e.T @ hk, np.ones(len(e), e.dtype) @ e
-        return logp, grad, dh
+                grad["wc"] += e.T @ ordered[own]
+        logp = np.empty_like(said)
+        logp[order] = said
+        if not gradients:
+            return logp, grad, None
+        for rows, units in parts:
+            dh[rows] += inside[rows] @ ww[units]
+            grad["ww"][units] = inside[rows].T @ ordered[rows]
+        by_state = np.empty_like(h)
+        by_state[order] = dh[:, :n]
+        return logp, grad, by_state
 
     def gradients(self, x: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the window's log-likelihood; and the state after it."""
@@ -237,10 +245,17 @@ def train(model: GatedModel, texts: list[np.ndarray], lanes: int = LANES, rate:
         for k, g in grad.items():
             g /= x.size
             m, v = moments[k]
-            m += 0.1 * (g - m)
+            m *= 0.9
+            v *= 0.995
+            m += 0.1 * g
             g *= g
-            v += 0.005 * (g - v)
-            model.p[k] += pace * m / (np.sqrt(v) + 1e-6)
+            g *= 0.005
+            v += g
+            np.sqrt(v, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= pace
+            model.p[k] += g
     return int(laid.lengths.sum())
 
 
@@ -248,7 +263,7 @@ def log_likelihoods(model: GatedModel, texts: list[np.ndarray], lanes: int = 2 *
     """ln P of the units of each whole text."""
     laid, out = Lanes.of(texts, lanes), np.zeros(len(texts))
     h = np.zeros((laid.x.shape[1], model.p["u"].shape[0]), np.float32)
-    for at, n in laid.windows(64):
+    for at, n in laid.windows():
         x = laid.x[at, :n]
         states, _ = model.run(x, laid.first[at, :n], h[:n])
         h = states[-1]
@@ -476,6 +491,7 @@ class Fitted:
 
 def learn(docs: DataFrame, training: Column, size: int = UNITS) -> Fitted:
     """Counts all words of the rows that ``training`` selects, and fits the model to them."""
+    prepare(docs.sparkSession)
     blocks = saved(tokenised(docs.select("doc_id", F.col("text").cast("string").alias("text"), training.alias("train"))))
     pairs = blocks.select(F.inline(F.arrays_zip("words", "n", "endings")).alias("word", "n", "ending"))
     counts = saved(pairs.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")))

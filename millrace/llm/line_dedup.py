@@ -52,7 +52,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left)."""
+    """doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left) for each row, repeated ones too; null text
+    is one empty line, which stays. A line exactly on the ratio stays."""
     done = drop_boilerplate(docs.select("doc_id", "source", "text"))
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed_row, saved, sized_broadcast
+from .common import packed_row, prepare, saved, sized_broadcast
 from .graph import components
 
 WORDS, K = 5, 64
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` and text_hash."""
+    prepare(docs.sparkSession)
     seen = saved(_sketched(docs))
     some = seen.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(some.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, packed_row, saved, sized_broadcast
+from .common import column, packed_row, prepare, saved, sized_broadcast
 
 #: Labelled documents that the classifier is fitted on, at most; site rates use all labels.
 SAMPLE = 20_000
@@ -88,12 +88,14 @@ def _labels(labels: DataFrame, target: str) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> Logistic:
     """Fits on at most ``sample`` labelled documents, those with the smallest hashes of their ids."""
     chosen = F.broadcast(_labels(labels, target).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    # Of rows that share an id, one stands for all, so that no more than ``sample`` come back.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("_y", "text").mapInArrow(run, "y int, x array<double>").collect()  # at most ``sample`` rows, or as many as share those ids
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.first("_y").alias("_y"), F.max("text").alias("text"))
+    rows = sorted(texts.select("_y", "text").mapInArrow(run, "y int, x array<double>").collect())  # ``sample`` at most
     x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))
     return Logistic.fit(x, np.array([r["y"] for r in rows], float))
 
@@ -132,6 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     ``threshold`` on. Null and empty texts have zero features; null hosts and paths are sites of their own;
     labels may repeat, contradict each other (the mean decides) or be absent (then all evidence is 0).
     """
+    prepare(docs.sparkSession)
     model = fit_classifier(docs, labels, target)
     sites, mu = site_posteriors(docs, labels, host, path, target)
     packed = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"))

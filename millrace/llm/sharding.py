@@ -4,7 +4,8 @@ Rows are grouped into blocks, a fixed number in each old shard, so what the driv
 input changes. The flow network runs from old shards (supply: their bytes) to new ones (demand: their
 capacity); an edge to the same shard is free, any other costs one for each byte. Its solution says how many
 bytes each pair of shards exchanges; whole blocks, taken in a fixed order, then realise the flow, each new
-shard ending within one block of its capacity. Only rows of moved blocks are rewritten.
+shard ending within one block of its capacity. Files of shards that neither gain nor lose rows stand; the others'
+are rewritten.
 """
 
 from __future__ import annotations
@@ -130,12 +131,13 @@ def rewrite_affected(rows: DataFrame, path: str) -> None:
     """Writes the rows of every shard that gained or lost rows, one folder a shard; other shards' files stand.
 
     ``rows`` come from ``reshard`` with the old shard in ``old_shard``. Folders of shards that lost all their
-    rows are deleted once the others are written.
+    rows are deleted once the others are written. Rows are dealt to tasks by ranges of shard and slot, so a large
+    shard is many files in order, and no task holds a whole one. Without moved rows nothing is written.
     """
     old = F.coalesce(F.col("old_shard"), F.lit(0)).cast("int")
     pairs = rows.groupBy(old.alias("old"), "shard").agg(F.max("moved").alias("moved")).collect()  # shard numbers, not rows
     hit = {k for r in pairs if r["moved"] for k in (r["old"], r["shard"])}
-    rows.where(F.col("shard").isin(list(hit))).drop("moved", "old_shard").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    rows.where(F.col("shard").isin(list(hit))).drop("moved", "old_shard").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     spark = rows.sparkSession
     for k in hit - {r["shard"] for r in pairs}:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")

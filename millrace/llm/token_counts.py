@@ -79,7 +79,9 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, sections: Cal
 
 
 def token_report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, n_sections, n_crossing, section_tokens (array, in order of the lines)."""
+    """doc_id, n_tokens, n_sections, n_crossing, section_tokens (array, in order of the lines) for each row, repeated
+    ones too. Null and empty texts have one section without tokens; a token that ends a line and begins the next
+    counts for the first and as crossing."""
     seen = section_tokens(docs, ranks_path, pattern)
     crossing = F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + s["n_crossing"])
     return seen.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), crossing.alias("n_crossing"), F.transform("sections", lambda s: s["n_tokens"]).alias("section_tokens"))
