@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import inspect
-import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -11,33 +11,39 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import JobTimeoutError
 
 
 def with_timeout(spark: SparkSession, function: Callable[[], Any], seconds: float | None) -> Any:
-    """Runs ``function``; its Spark jobs are cancelled after ``seconds``."""
+    """Runs ``function``, in a thread of its own if there is a limit, and returns or raises what it does.
+
+    After ``seconds`` its Spark jobs are cancelled, JobTimeoutError is raised here at once, and in its thread at the
+    next step of Python, so that loops end too; a call outside Python that cannot be interrupted ends in the background.
+    """
     if seconds is None:
         return function()
-    tag, late = f"limit-{uuid.uuid4().hex}", threading.Event()
+    tag, done = f"limit-{uuid.uuid4().hex}", {}
 
-    def stop() -> None:
-        late.set()
+    def run() -> None:
+        spark.addTag(tag)
+        try:
+            done["value"] = function()
+        except BaseException as e:
+            done["error"] = e
+
+    thread = InheritableThread(run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
         spark.interruptTag(tag)
-
-    spark.addTag(tag)
-    timer = threading.Timer(seconds, stop)
-    timer.start()
-    try:
-        return function()
-    except Exception as e:
-        if late.is_set():
-            raise JobTimeoutError(f"more than {seconds} s") from e
-        raise
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        ctypes.pythonapi.PyThreadState_SetAsyncExc(ctypes.c_ulong(thread.ident), ctypes.py_object(JobTimeoutError))
+        raise JobTimeoutError(f"more than {seconds} s")
+    if "error" in done:
+        raise done["error"]
+    return done["value"]
 
 
 def function_arguments(function: Callable) -> list[str]:

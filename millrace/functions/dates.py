@@ -5,6 +5,8 @@ Month arithmetic is that of the calendar; year carries and borrows are right at
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,17 @@ from ..errors import MissingArgumentError
 
 # Microseconds of each unit.
 MICROSECONDS = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "h": 3_600_000_000, "day": 86_400_000_000}
-# The formats tried, first fit wins, four-digit years before two-digit ones.
-FORMATS = ("y-M-d", "d-M-y", "M-d-y", "y/M/d", "d/M/y", "M/d/y", "y.M.d", "d.M.y", "y M d", "d MMM y", "d MMMM y", "MMM d y", "MMMM d y", "MMM d, y", "MMMM d, y", "d-MMM-y", "yMMdd")
+# The formats tried, in this order; the first that fits wins.
+FORMATS = (
+    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y-%m", "%Y/%m", "%Y.%m", "%Y", "%y-%m-%d", "%y/%m/%d", "%y.%m.%d",
+    "%b %d, %Y", "%B %d, %Y", "%B %d %Y", "%m/%d/%Y", "%m/%d/%y", "%b %Y", " %B%Y", "%b %d,%Y",
+)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+# What each part of a format stands for; a space is any white space.
+_PARTS = {
+    "%Y": r"(\d{4})", "%y": r"(\d{2})", "%m": r"(1[0-2]|0[1-9]|[1-9])", "%d": r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])",
+    "%b": "(" + "|".join(m[:3] for m in MONTHS) + ")", "%B": "(" + "|".join(MONTHS) + ")",
+}
 
 
 def add_days(d: Column, n: Column | int) -> Column:
@@ -53,17 +64,31 @@ def string_to_date(s: Column) -> Column:
     return F.make_date(part(1, 4), part(6, 2), part(9, 2))
 
 
+def _parsed(s: Column, fmt: str) -> Column:
+    """The date that ``fmt`` finds in the whole of ``s``, else null; a missing month or day is the first."""
+    pieces = re.split("(%.)", fmt)
+    pattern = "".join(_PARTS.get(x) or re.sub(r"\s+", r"\\s+", re.escape(x).replace("\\ ", " ")) for x in pieces)
+    part = {x: F.regexp_extract(s, f"(?i)^{pattern}$", n) for n, x in enumerate((x for x in pieces if x in _PARTS), 1)}
+    year = part["%Y"].try_cast("int") if "%Y" in part else None
+    if year is None:
+        two = part["%y"].try_cast("int")
+        year = two + F.when(two < 69, 2000).otherwise(1900)
+    month, day = F.lit(1), F.lit(1)
+    if "%m" in part:
+        month = part["%m"].try_cast("int")
+    elif "%b" in part or "%B" in part:
+        month = month_number(part["%b" if "%b" in part else "%B"])
+    if "%d" in part:
+        day = F.trim(part["%d"]).try_cast("int")
+    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    # concat_ws leaves nulls out, and a text of fewer parts is no date.
+    return F.when(year >= 1, F.try_to_date(text, "yyyy-MM-dd"))
+
+
 def parse_date(s: Column, fmt: str | None = None) -> Column:
-    """The first format that fits, else null. Two-digit years are 1969 to 2068."""
-    if fmt:
-        return F.try_to_date(s, fmt)
-    four = s.rlike(r"(?<!\d)\d{4}(?!\d)|^\d{8}$")
-    tries = []
-    for f in FORMATS:
-        short = F.try_to_date(s, f.replace("y", "yy"))
-        tries.append(F.when(four, F.try_to_date(s, f.replace("y", "yyyy"))))
-        tries.append(F.when(~four, F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)))
-    return F.coalesce(*tries)
+    """The date by the first of ``FORMATS`` that fits the whole text, else null; or by ``fmt`` alone, of the same
+    parts (%Y, %y, %m, %d, %b, %B). Names of months in any case; two-digit years are 1969 to 2068."""
+    return F.coalesce(*[_parsed(s, f) for f in ([fmt] if fmt else FORMATS)])
 
 
 def year_month(d: Column) -> Column:

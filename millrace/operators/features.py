@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import AlreadyFittedError, DataError, NotFittedError
-from ..rows import is_missing, require_columns
+from ..rows import is_missing, named, require_columns
 
 
 @dataclass
@@ -64,17 +64,22 @@ class OneHotEncoder:
     values: dict[str, list[str]] | None = field(default=None)
 
     def _value(self, c: str) -> Column:
-        s = F.col(c).cast("string")
+        s = named(c).cast("string")
         return F.lower(s) if self.lowercase else s
 
     def fit(self, df: DataFrame) -> OneHotEncoder:
         chosen = [c for c in (self.include or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]) if c not in self.exclude]
         require_columns(df, chosen)
         self.values = {}
-        for c in chosen:  # each is a map-side combined count whose result is cut to ``top``
-            counts = df.groupBy(self._value(c).alias("v")).count()
-            total = counts.agg(F.sum("count")).first()[0] or 0
-            best = counts.where("v is not null").orderBy(F.desc("count"), "v").limit(self.top).collect()
+        if not chosen:
+            return self
+        # One job counts the values of all columns; each column's are cut to ``top`` before they meet.
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), self._value(c).alias("v")) for i, c in enumerate(chosen)])
+        counts = df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.v").count().where("v is not null")
+        rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("count"), "v"))
+        rows, total = counts.withColumn("_rank", rank).where(F.col("_rank") <= self.top).orderBy("c", "_rank").collect(), df.count()
+        for i, c in enumerate(chosen):
+            best = [r for r in rows if r["c"] == i]
             self.values[c] = [r["v"] for r in best if r["count"] < total]
             if 0 < sum(r["count"] for r in best) < total:
                 self.values[c].append(self.other)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, DataError, MissingArgumentError
-from ..rows import first_rows, require_batch, require_columns, seeded_order, with_row_id, with_running_total
+from ..rows import first_rows, require_batch, require_columns, seeded_order, with_rank, with_row_id, with_running_total
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str | None = None) -> DataFrame:
@@ -27,8 +27,7 @@ def sample_per_group(df: DataFrame, group_by: list[str], key: str, ratio: float
     """(training, test): of each group round(size * ratio) rows, half-even, or at most n; test has all the rest."""
     if (ratio is None) == (n is None):
         raise AmbiguousArgumentError("give a ratio or a number")
-    w = Window.partitionBy(*group_by)
-    ranked = df.withColumn("_rank", F.row_number().over(w.orderBy(seeded_order(key, seed), key)))
+    ranked = with_rank(df, group_by, [seeded_order(key, seed), F.col(key)], "_rank")
     take = F.lit(n) if ratio is None else F.bround(F.col("_size") * ratio)
     if ratio is not None:
         sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_size"))
@@ -129,8 +128,7 @@ class UpSampler:
         targets = self.targets.withColumnRenamed("_label", "_target")
         joined = labelled.join(targets, labelled["_label"].eqNullSafe(targets["_target"]))
         copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil("_repeats").cast("int"))))
-        rank = F.row_number().over(Window.partitionBy("_label").orderBy("_copy", key))
-        kept = copies.withColumn("_rank", rank).where("_rank <= _want")
+        kept = with_rank(copies, ["_label"], [F.col("_copy"), F.col(key)], "_rank").where("_rank <= _want")
         return kept.withColumn(self.label, F.col("_label")).drop("_label", "_target", "_repeats", "_want", "_copy", "_rank")
 
     def fit_upsample(self, df: DataFrame, label: str, key: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rows import is_missing
+from ..errors import DataError
+from ..rows import is_missing, named
 
 
 def _entropy(counts: DataFrame, n: str = "count") -> DataFrame:
@@ -101,50 +102,94 @@ def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: <c>_mean, <c>_sd (of the population), <c>_uniques; missing values skipped."""
     out = []
     for c in columns:
-        x = F.when(~is_missing(df, c), F.col(c))
+        x = F.when(~is_missing(df, c), named(c))
         out += [F.avg(x).alias(f"{c}_mean"), F.stddev_pop(x).alias(f"{c}_sd"), F.count_distinct(x).alias(f"{c}_uniques")]
     return df.agg(*out)
 
 
 def _masks(df: DataFrame, columns: list[str]) -> list[tuple[int, int]]:
-    """(bit mask of missing columns, rows), one for each pattern that occurs."""
-    mask = F.lit(0).cast("long")
-    for i, c in enumerate(columns):
-        mask = mask + F.when(is_missing(df, c), F.lit(1 << i)).otherwise(F.lit(0))
-    return [(r["m"], r["count"]) for r in df.groupBy(mask.alias("m")).count().collect()]
+    """(bit mask of missing columns, rows), one for each pattern that occurs; tables may have any number of columns."""
+    flags = F.concat(*[F.when(is_missing(df, c), "1").otherwise("0") for c in reversed(columns)])
+    return [(int(r["m"], 2), r["count"]) for r in df.groupBy(flags.alias("m")).count().collect()]
 
 
 def fully_covering_columns(df: DataFrame, column: str) -> list[str]:
     """Columns that are present wherever ``column`` is missing."""
-    bit = df.columns.index(column)
-    masks = [m for m, _ in _masks(df, df.columns) if m >> bit & 1]
-    return [c for i, c in enumerate(df.columns) if i != bit and not any(m >> i & 1 for m in masks)]
+    return [df.columns[i] for i in _covering(_masks(df, df.columns), df.columns.index(column), len(df.columns))]
+
+
+def _covering(masks: list[tuple[int, int]], bit: int, width: int) -> list[int]:
+    gaps = 0
+    for m, _ in masks:
+        gaps |= m if m >> bit & 1 else 0
+    return [i for i in range(width) if i != bit and not gaps >> i & 1]
 
 
 def coverage_subsets(df: DataFrame, column: str) -> DataFrame:
     """For every non-empty subset of the covering columns: how many rows have all of it, and its score.
 
-    columns, row_coverage, row_ratio, column_ratio = size / (columns - 1), score = row_ratio^2 * column_ratio.
-    One scan counts the patterns of missing values; the subsets are then worked out from those, however many.
+    columns, n_columns, row_coverage, row_ratio, column_ratio = n_columns / (columns - 1), score = row_ratio^2 *
+    column_ratio. One scan counts the patterns of missing values. The subsets, 2^n of them, are made by Spark; more
+    than 2^40 are an error, for which ``best_coverage`` is the way.
     """
-    masks = _masks(df, df.columns)
-    bit = df.columns.index(column)
-    hit = [m for m, _ in masks if m >> bit & 1]
-    covering = [i for i in range(len(df.columns)) if i != bit and not any(m >> i & 1 for m in hit)]
+    masks, names = _masks(df, df.columns), df.columns
+    covering = _covering(masks, names.index(column), len(names))
+    if len(covering) > 40:
+        raise DataError(f"{len(covering)} covering columns have too many subsets to list")
     total = sum(n for _, n in masks)
-    rows = []
-    for k in range(1, 1 << len(covering)):
-        chosen = [c for j, c in enumerate(covering) if k >> j & 1]
-        bits = sum(1 << c for c in chosen)
-        covered = sum(n for m, n in masks if not m & bits)
-        ratio, width = covered / total, len(chosen) / (len(df.columns) - 1)
-        rows.append((",".join(df.columns[c] for c in chosen), len(chosen), covered, ratio, width, ratio**2 * width))
-    return df.sparkSession.createDataFrame(rows, "columns string, n_columns int, row_coverage bigint, row_ratio double, column_ratio double, score double")
+    # Patterns that agree in the covering columns are one.
+    seen: dict[int, int] = {}
+    for m, n in masks:
+        gaps = sum(1 << j for j, i in enumerate(covering) if m >> i & 1)
+        seen[gaps] = seen.get(gaps, 0) + n
+    spark = df.sparkSession
+    subsets = spark.range(1, 1 << len(covering)) if covering else spark.range(0)
+    patterns = F.broadcast(spark.createDataFrame(list(seen.items()) or [(0, 0)], "gaps bigint, n bigint"))
+    covered = F.sum(F.when(F.col("id").bitwiseAND(F.col("gaps")) == 0, F.col("n")).otherwise(0)).alias("row_coverage")
+    counted = subsets.join(patterns, F.lit(True)).groupBy("id").agg(covered)
+    held = [F.when(F.col("id").bitwiseAND(1 << j) != 0, F.lit(names[i])) for j, i in enumerate(covering)] or [F.lit(None).cast("string")]
+    chosen = F.array_compact(F.array(*held))
+    ratio, width = F.col("row_coverage") / F.lit(float(total)), F.col("n_columns") / F.lit(float(len(names) - 1))
+    out = counted.select(F.array_join(chosen, ",").alias("columns"), F.size(chosen).alias("n_columns"), "row_coverage")
+    return out.select("*", ratio.alias("row_ratio"), width.alias("column_ratio"), (ratio * ratio * width).alias("score"))
+
+
+#: Branches that ``best_coverage`` looks at before it settles for the best subset found.
+MOST_BRANCHES = 100_000
 
 
 def best_coverage(df: DataFrame, column: str) -> list[str]:
-    best = coverage_subsets(df, column).orderBy(F.desc("score"), "n_columns", "columns").first()
-    return best["columns"].split(",") if best else []
+    """The subset of the covering columns with the best score, of equal ones the smallest, then the first by name.
+
+    Columns that are missing in the same rows come together, since each adds to the width and takes no more rows.
+    Such groups are taken in or left out one after the other; a branch ends where even all that is left, with the rows
+    it still has, could not reach the best score so far. The search is exact unless it takes MOST_BRANCHES.
+    """
+    masks, names = _masks(df, df.columns), df.columns
+    total, width = sum(n for _, n in masks), len(names) - 1
+    alike: dict[tuple[int, ...], list[int]] = {}
+    for i in _covering(masks, names.index(column), len(names)):
+        alike.setdefault(tuple(k for k, (m, _) in enumerate(masks) if m >> i & 1), []).append(i)
+    groups = sorted(alike.items(), key=lambda g: (sum(masks[k][1] for k in g[0]), g[1]))
+    left = [sum(len(g) for _, g in groups[at:]) for at in range(len(groups) + 1)]
+    best: tuple | None = None
+    waiting, looked = [(0, [], frozenset())], 0
+    while waiting and looked < MOST_BRANCHES:
+        at, taken, lost = waiting.pop()
+        looked += 1
+        ratio = (total - sum(masks[k][1] for k in lost)) / total if total else 0.0
+        if best is not None and ratio**2 * ((len(taken) + left[at]) / width) < -best[0]:
+            continue
+        if at == len(groups):
+            if taken:
+                own = sorted(taken)
+                found = (-(ratio**2 * (len(own) / width)), len(own), ",".join(names[i] for i in own), own)
+                best = found if best is None else min(best, found)
+            continue
+        rows, columns = groups[at]
+        waiting.append((at + 1, taken, lost))
+        waiting.append((at + 1, [*taken, *columns], lost.union(rows)))
+    return [names[i] for i in best[3]] if best else []
 
 
 def performance_summary(events: DataFrame, name: str, start: str, end: str) -> DataFrame:

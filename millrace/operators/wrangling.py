@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, DataError, DuplicationError, MissingArgumentError
 from ..functions.text import snake_name
-from ..rows import is_missing, is_numeric, require_columns
+from ..rows import is_missing, is_numeric, named, require_columns
+
+
+#: Values that a table can be widened by; more are an error.
+MOST_WIDENED = 10_000
+#: Pairs of columns counted in one job: each distinct count multiplies the rows.
+PAIRS_AT_ONCE = 32
 
 
 def select_columns(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     require_columns(df, include or [])
-    return df.select(*[c for c in (include or df.columns) if c not in (exclude or [])])
+    return df.select(*[named(c) for c in (include or df.columns) if c not in (exclude or [])])
 
 
 def move_columns(df: DataFrame, to: str, columns: str | list[str]) -> DataFrame:
@@ -26,7 +32,7 @@ def move_columns(df: DataFrame, to: str, columns: str | list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in columns]
     if to not in ("front", "back"):
         raise MissingArgumentError("to is front or back")
-    return df.select(*(columns + rest if to == "front" else rest + columns))
+    return df.select(*map(named, columns + rest if to == "front" else rest + columns))
 
 
 def bring_to_front(df: DataFrame, columns: str | list[str]) -> DataFrame:
@@ -59,7 +65,7 @@ def columns_are_unique(df: DataFrame) -> bool:
 
 def set_value_where(df: DataFrame, columns: str | list[str], value, where: Column) -> DataFrame:
     columns = [columns] if isinstance(columns, str) else columns
-    return df.withColumns({c: F.when(where, F.lit(value)).otherwise(F.col(c)) for c in columns})
+    return df.withColumns({c: F.when(where, F.lit(value)).otherwise(named(c)) for c in columns})
 
 
 def missing_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, int]:
@@ -85,7 +91,7 @@ def fill_na(df: DataFrame, value=0, columns: list[str] | None = None, except_col
         if n:
             flag = is_missing(df, c)
             new[c + suffix] = flag.cast("int") if as_int else flag
-            new[c] = F.when(flag, F.lit(value)).otherwise(F.col(c))
+            new[c] = F.when(flag, F.lit(value)).otherwise(named(c))
     return df.withColumns(new)
 
 
@@ -105,7 +111,7 @@ def as_string(c: Column) -> Column:
 
 def _extreme(df: DataFrame, columns: list[str], skip_na: bool, largest: bool) -> Column:
     require_columns(df, columns)
-    cells = [F.when(~is_missing(df, c), F.col(c)) for c in columns]
+    cells = [F.when(~is_missing(df, c), named(c)) for c in columns]
     best = cells[0] if len(cells) == 1 else (F.greatest if largest else F.least)(*cells)
     if skip_na:
         return best
@@ -126,7 +132,7 @@ def row_max(df: DataFrame, columns: list[str], skip_na: bool = True) -> Column:
 
 def column_extremes(df: DataFrame, columns: list[str]) -> DataFrame:
     """min_ and max_ of each column, missing values skipped, one row."""
-    clean = {c: F.when(~is_missing(df, c), F.col(c)) for c in columns}
+    clean = {c: F.when(~is_missing(df, c), named(c)) for c in columns}
     return df.agg(*[f(x).alias(f"{n}_{c}") for c, x in clean.items() for n, f in (("min", F.min), ("max", F.max))])
 
 
@@ -135,7 +141,7 @@ def single_value_columns(df: DataFrame, ignore: list[str] | None = None) -> list
     chosen = [c for c in df.columns if c not in (ignore or [])]
     # Exact and cheap: more than one value exactly if least and greatest differ or some are missing, not all.
     row = df.agg(*[e for i, c in enumerate(chosen) for e in (
-        F.min(F.when(~is_missing(df, c), F.col(c))).alias(f"a{i}"), F.max(F.when(~is_missing(df, c), F.col(c))).alias(f"b{i}"), F.max(is_missing(df, c)).alias(f"m{i}"))]).first()
+        F.min(F.when(~is_missing(df, c), named(c))).alias(f"a{i}"), F.max(F.when(~is_missing(df, c), named(c))).alias(f"b{i}"), F.max(is_missing(df, c)).alias(f"m{i}"))]).first()
     return [c for i, c in enumerate(chosen) if row[f"a{i}"] == row[f"b{i}"] and not (row[f"m{i}"] and row[f"a{i}"] is not None) and row[f"m{i}"] is not None]
 
 
@@ -152,17 +158,19 @@ def drop_columns_with_too_many_nas(df: DataFrame, na_ratio: float, ignore: list[
     return df.drop(*[c for c, r in zip(chosen, row) if r is not None and r >= na_ratio])
 
 
-def _pair_counts(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> tuple[dict, dict]:
-    """Distinct values of columns and of pairs, null a value, in one job."""
-    clean = {c: F.when(~is_missing(df, c), F.col(c)) for c in columns}
-    one = [F.count_distinct(F.struct(clean[c])).alias(f"c{i}") for i, c in enumerate(columns)]
-    two = [F.count_distinct(F.struct(clean[a].alias("a"), clean[b].alias("b"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    row = df.agg(*one, *two).first()
-    return dict(zip(columns, row[: len(columns)])), dict(zip(pairs, row[len(columns) :]))
+def _counts(df: DataFrame, columns: list[str], pairs: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+    """Distinct values of tuples of columns, null a value; PAIRS_AT_ONCE in a job."""
+    clean = {c: F.when(~is_missing(df, c), named(c)) for c in columns}
+    out = {}
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[at : at + PAIRS_AT_ONCE]
+        row = df.agg(*[F.count_distinct(F.struct(*[clean[c].alias(f"x{k}") for k, c in enumerate(p)])).alias(f"c{i}") for i, p in enumerate(part)]).first()
+        out |= dict(zip(part, row))
+    return out
 
 
-def _useless(df: DataFrame, a: str, b: str, one: dict, two: dict) -> str | None:
-    n_a, n_b, n_ab = one[a], one[b], two[a, b]
+def _useless(df: DataFrame, a: str, b: str, counts: dict) -> str | None:
+    n_a, n_b, n_ab = counts[a,], counts[b,], counts[a, b]
     if n_a == n_b == n_ab:
         return a if is_numeric(df, b) and not is_numeric(df, a) else b
     return a if n_ab == n_b else b if n_ab == n_a else None
@@ -171,22 +179,32 @@ def _useless(df: DataFrame, a: str, b: str, one: dict, two: dict) -> str | None:
 def get_useless_column(df: DataFrame, a: str, b: str) -> str | None:
     """Of two columns, the one that the other determines; of two that determine each other the one that is not
     numeric, else the second."""
-    return _useless(df, a, b, *_pair_counts(df, [a, b], [(a, b)]))
+    return _useless(df, a, b, _counts(df, [a, b], [(a,), (b,), (a, b)]))
 
 
 def drop_columns_with_no_additional_information(df: DataFrame, ignore: list[str] | None = None) -> DataFrame:
-    """Pairs of non-numeric columns from left to right; a dropped column is not compared again."""
+    """Pairs of non-numeric columns from left to right; a dropped column is not compared again.
+
+    Columns are counted one by one first. A pair has at least the values of its richer column and at most all rows,
+    so a column that is one value throughout, or differs in every row, needs no count of pairs.
+    """
     chosen = [c for c in df.columns if not is_numeric(df, c)]
     pairs = list(combinations(chosen, 2))
     if not pairs:
         return df
-    one, two = _pair_counts(df, chosen, pairs)
+    counts, rows = _counts(df, chosen, [(c,) for c in chosen]), df.count()
+    known = {p: rows for p in pairs if rows in (counts[p[0],], counts[p[1],])}
+    known |= {(a, b): max(counts[a,], counts[b,]) for a, b in pairs if min(counts[a,], counts[b,]) <= 1}
     gone: list[str] = []
-    for a, b in pairs:
-        if a not in gone and b not in gone:
-            x = _useless(df, a, b, one, two)
-            if x is not None and x not in (ignore or []):
-                gone.append(x)
+    for i, a in enumerate(chosen):
+        # What is left to compare with ``a`` is counted together, columns that are gone by now left out.
+        mine = [(a, b) for b in chosen[i + 1 :] if a not in gone and b not in gone]
+        known |= _counts(df, chosen, [p for p in mine if p not in known])
+        for _, b in mine:
+            if a not in gone and b not in gone:
+                x = _useless(df, a, b, counts | known)
+                if x is not None and x not in (ignore or []):
+                    gone.append(x)
     return df.drop(*gone)
 
 
@@ -210,10 +228,10 @@ def select_extreme(df: DataFrame, column: str, group_by: list[str] | None, large
     ``tie`` orders rows of equal value, first wins. Spark prunes each group before the shuffle to its best row.
     """
     present = df.where(~is_missing(df, column))
-    value = F.desc(column) if largest else F.asc(column)
+    value = named(column).desc() if largest else named(column).asc()
     if not group_by:
         return present.orderBy(value, *tie).limit(1)
-    rank = F.row_number().over(Window.partitionBy(*group_by).orderBy(value, *tie))
+    rank = F.row_number().over(Window.partitionBy(*map(named, group_by)).orderBy(value, *tie))
     return present.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -226,25 +244,28 @@ def select_min(df: DataFrame, column: str, group_by: list[str] | None = None, ti
 
 
 def long_to_wide(df: DataFrame, index: list[str], widen: str, values: list[str], widen_values: list | None = None, agg=None) -> DataFrame:
-    """One column ``<value>_<widened>`` for each value column and widened value.
+    """One column ``<value>_<widened>`` for each value column and widened value, of which there may be MOST_WIDENED.
 
     A cell may come from one row only, unless ``agg`` says how to reduce several. Giving ``widen_values``
     saves the job that looks for them.
     """
     if agg is None:
-        clash = df.groupBy(*index, widen).count().where("count > 1").limit(1).count()
+        clash = df.groupBy(*map(named, (*index, widen))).count().where("count > 1").limit(1).count()
         if clash:
             raise DataError("several rows for one cell")
     reduce = agg or F.first
     if widen_values is None:
-        widen_values = sorted(r[0] for r in df.select(widen).distinct().collect() if r[0] is not None)
-    cells = [reduce(F.when(F.col(widen) == w, F.col(v)), **({} if agg else {"ignorenulls": True})).alias(snake_name((v, w))) for v in values for w in widen_values]
-    return df.groupBy(*index).agg(*cells)
+        found = df.select(named(widen).alias("w")).where("w is not null").distinct().limit(MOST_WIDENED + 1).collect()
+        if len(found) > MOST_WIDENED:
+            raise DataError(f"more than {MOST_WIDENED} values to widen by; a table cannot have that many columns")
+        widen_values = sorted(r[0] for r in found)
+    cells = [reduce(F.when(named(widen) == w, named(v)), **({} if agg else {"ignorenulls": True})).alias(snake_name((v, w))) for v in values for w in widen_values]
+    return df.groupBy(*map(named, index)).agg(*cells)
 
 
 def split_rows(df: DataFrame, column: str, sep: str = ",", name: str | None = None, keep_original: bool = False) -> DataFrame:
     """One row for each separated part, stripped; a null stays one row."""
-    part = F.explode_outer(F.split(F.regexp_replace(F.trim(F.col(column)), rf"\s*\Q{sep}\E\s*", sep), rf"\Q{sep}\E"))
+    part = F.explode_outer(F.split(F.regexp_replace(F.trim(named(column)), rf"\s*\Q{sep}\E\s*", sep), rf"\Q{sep}\E"))
     out = df.withColumn("_part", part)
     if not keep_original:
         out = out.drop(column)
@@ -264,7 +285,7 @@ class DataSlice:
     @property
     def data(self) -> DataFrame:
         out = self.source if self.rows is None else self.source.join(self.rows, self.row_id, "left_semi")
-        return out.select(*self.columns)
+        return out.select(*map(named, self.columns))
 
     @property
     def shape(self) -> tuple[int, int]:

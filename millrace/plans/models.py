@@ -39,10 +39,12 @@ def influence_linear(t: Tables) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_retailprice, p_size % 4 AS k FROM part)
 SELECT 'k' AS variable, v::DOUBLE AS value, round(avg(y), 4) AS mean, round(stddev_pop(y), 4) AS sd, round(quantile_cont(y, 0.25), 4) AS q1, round(median(y), 4) AS median, round(quantile_cont(y, 0.75), 4) AS q3
-FROM (SELECT v, p_retailprice * v AS y FROM p, (SELECT DISTINCT k AS v FROM p)) GROUP BY v""")
+FROM (SELECT v, p_retailprice * v AS y FROM p, (SELECT DISTINCT k AS v FROM p)) GROUP BY v
+UNION ALL SELECT 'p_retailprice', round(v, 4), round(avg(y), 4), round(stddev_pop(y), 4), round(quantile_cont(y, 0.25), 4), round(median(y), 4), round(quantile_cont(y, 0.75), 4)
+FROM (SELECT i, v, v * k AS y FROM p, (SELECT i, m + s * (4 * i / 199.0::DOUBLE - 2) AS v FROM (SELECT avg(p_retailprice) AS m, stddev_pop(p_retailprice) AS s FROM p), (SELECT unnest(range(200)) AS i))) GROUP BY i, v""")
 def influence_simulation(t: Tables) -> DataFrame:
     df = t.part.select("p_retailprice", (F.col("p_size") % 4).alias("k"))
-    return rounded(models.influence_simulation(df, lambda x: x["p_retailprice"] * x["k"], ["p_retailprice", "k"]).where("variable = 'k'"), 4)
+    return rounded(models.influence_simulation(df, lambda x: x["p_retailprice"] * x["k"], ["p_retailprice", "k"]), 4)
 
 
 @query()

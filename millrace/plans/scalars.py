@@ -116,18 +116,36 @@ def month_bounds(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", dates.first_day_of_month(d).alias("first"), dates.last_day_of_month(d).alias("last"), dates.number_of_days(F.year(d), F.month(d)).alias("days"), dates.number_of_days(F.year(d)).alias("year_days"), name.alias("name"), dates.month_number(name).alias("number"))
 
 
-@query(f"SELECT o_orderkey, {D} AS iso, {D} AS slashed, {D} AS worded, {D} AS short, CAST(NULL AS DATE) AS nothing, {D} AS cut FROM orders")
+#: The forms of FORMATS that Spark writes in its own letters, and what is left of the date: day, month or year.
+_FORMS = {
+    "yyyy-MM-dd": "day", "yyyy/M/d": "day", "yyyy.MM.dd": "day", "yyyy-MM": "month", "yyyy/M": "month", "yyyy.MM": "month", "yyyy": "year", "yy-MM-dd": "day", "yy/M/d": "day",
+    "yy.MM.dd": "day", "MMM dd, yyyy": "day", "MMMM d, yyyy": "day", "MMMM d yyyy": "day", "MM/dd/yyyy": "day", "M/d/yy": "day", "MMM yyyy": "month", "' 'MMMMyyyy": "month", "MMM d,yyyy": "day",
+}
+_ODD = {"03/04/2020": "2020-03-04", "13-02-2020": None, "2021-02-30": None, "05/06/07": "2005-06-07", "jan 5, 1999": "1999-01-05", "2021-3-4": "2021-03-04", "no date": None, "20210304": None, "2021-13": None, "68-1-1": "2068-01-01", "69-1-1": "1969-01-01"}
+
+
+@query(f"SELECT o_orderkey, i::INTEGER AS i, CAST(CASE w WHEN 'day' THEN {D} ELSE date_trunc(w, {D}) END AS DATE) AS d FROM orders, (SELECT unnest({list(range(len(_FORMS)))}) AS i, unnest({list(_FORMS.values())}) AS w)")
 def parse_date(t: Tables) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
-    forms = {"iso": "yyyy-MM-dd", "slashed": "yyyy/M/d", "worded": "d MMM yyyy", "short": "yyMMdd"}
-    return t.orders.select("o_orderkey", *[dates.parse_date(F.date_format(d, f)).alias(n) for n, f in forms.items()], dates.parse_date(F.lit("no date")).alias("nothing"), dates.string_to_date(F.date_format(d, "yyyy.MM.dd")).alias("cut"))
+    tries = F.array(*[dates.parse_date(F.date_format(d, f)) for f in _FORMS])
+    return t.orders.select("o_orderkey", F.posexplode(tries).alias("i", "d"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', CAST({f"'{d}'" if d else 'NULL'} AS DATE))" for s, d in _ODD.items()) + ") AS v(s, d)")
+def parse_odd_date(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(s,) for s in _ODD], "s string").select("s", dates.parse_date(F.col("s")).alias("d"))
+
+
+@query(f"SELECT o_orderkey, {D} AS cut FROM orders")
+def string_to_date(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", dates.string_to_date(F.date_format(F.col("o_orderdate").cast("date"), "yyyy.MM.dd")).alias("cut"))
 
 
-_LISTS = "(SELECT o_custkey, list(o_orderkey % 7 ORDER BY o_orderkey) AS a, list(o_orderkey % 5 ORDER BY o_orderkey) AS b FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey)"
+_LISTS = "(SELECT o_custkey, list(o_orderkey % 7 ORDER BY o_orderkey) AS a, list(o_orderkey % 5 ORDER BY o_orderkey) AS b FROM orders GROUP BY o_custkey)"
 
 
 def _lists(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("os"))
+    rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey"))).alias("os"))
     return rows.select("o_custkey", F.transform("os", lambda o: o["o_orderkey"] % 7).alias("a"), F.transform("os", lambda o: o["o_orderkey"] % 5).alias("b"))
 
 
@@ -157,11 +175,11 @@ def set_ops(t: Tables) -> DataFrame:
     return _lists(t).select("o_custkey", _joined(arrays.intersection(a, b)).alias("common"), _joined(arrays.union(a, b)).alias("either"), _joined(arrays.difference(a, b)).alias("only_a"), _joined(arrays.symmetric_difference(a, b)).alias("one_of"), arrays.is_subset(a, b).alias("subset"))
 
 
-@query(f"SELECT o_custkey, list_sum(a)::BIGINT * 2 AS total, len(a) * 2 AS n FROM {_LISTS}")
+@query(f"SELECT o_custkey, {_list_sql('list_concat(a, a)')} AS flat, len(a) * 2 AS n FROM {_LISTS}")
 def array_flatten(t: Tables) -> DataFrame:
     nested = _lists(t).select("o_custkey", F.array(F.array("a"), F.array("a")).alias("deep"))
     flat = arrays.flatten(nested, "deep")
-    return nested.select("o_custkey", F.aggregate(flat, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.size(flat).cast("long").alias("n"))
+    return nested.select("o_custkey", _joined(flat).alias("flat"), F.size(flat).cast("long").alias("n"))
 
 
 @query(f"SELECT o_custkey, i::INTEGER AS i, list_sum(a[1:i])::DOUBLE AS s FROM (SELECT o_custkey, a, unnest(generate_series(1, len(a))) AS i FROM {_LISTS})")
@@ -169,9 +187,9 @@ def array_cumsum(t: Tables) -> DataFrame:
     return _lists(t).select("o_custkey", F.posexplode(arrays.cumsum(F.col("a"))).alias("i", "s")).withColumn("i", F.col("i") + 1)
 
 
-@query(f"SELECT o_custkey, x, y FROM (SELECT o_custkey, unnest(a[1:3]) AS x, b FROM {_LISTS}), unnest(b[1:2]) AS u(y)")
+@query(f"SELECT o_custkey, x, y FROM (SELECT o_custkey, unnest(a) AS x, b FROM {_LISTS}), unnest(b) AS u(y)")
 def array_product(t: Tables) -> DataFrame:
-    pairs = arrays.product(F.slice("a", 1, 3), F.slice("b", 1, 2))
+    pairs = arrays.product(F.col("a"), F.col("b"))
     return _lists(t).select("o_custkey", F.explode(pairs).alias("p")).select("o_custkey", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 

@@ -198,10 +198,12 @@ def untransform(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT lower(p_type) AS v, count(*) AS n FROM part GROUP BY 1), top AS (SELECT v FROM c ORDER BY n DESC, v LIMIT 3)
-SELECT p_partkey, lower(p_type) AS type, CAST(lower(p_type) NOT IN (SELECT v FROM top) AS INTEGER) AS p_type_other FROM part""")
+SELECT p_partkey, 'p_type_' || v AS name, CAST(lower(p_type) = v AS INTEGER) AS hit FROM part, top
+UNION ALL SELECT p_partkey, 'p_type_other', CAST(lower(p_type) NOT IN (SELECT v FROM top) AS INTEGER) FROM part""")
 def one_hot_top_n(t: Tables) -> DataFrame:
-    df = t.part.select("p_partkey", "p_type", F.lower("p_type").alias("type"))
-    return features.OneHotEncoder(top=3, exclude=("type",)).fit_transform(df).select("p_partkey", "type", "p_type_other")
+    done = features.OneHotEncoder(top=3).fit_transform(t.part.select("p_partkey", "p_type"))
+    cells = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("hit")) for c in done.columns if c != "p_partkey"]
+    return done.select("p_partkey", F.explode(F.array(*cells)).alias("x")).select("p_partkey", "x.*")
 
 
 @query("SELECT p_partkey, p_mfgr, CAST(coalesce(p_mfgr = 'a', false) AS INTEGER) AS letter_a, CAST(coalesce(p_mfgr = 'b', false) AS INTEGER) AS letter_b, CAST(p_mfgr = 'c' OR p_mfgr IS NULL AS INTEGER) AS letter_other FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 < 5 THEN 'a' WHEN p_partkey % 10 < 8 THEN 'b' WHEN p_partkey % 10 = 8 THEN 'c' END AS p_mfgr FROM part)")

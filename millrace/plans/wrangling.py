@@ -145,14 +145,19 @@ def data_slice(t: Tables) -> DataFrame:
     return w.DataSlice(t.events, ["event_id", "value"], buyers, "user_id").data
 
 
-JOIN_SQL = """WITH l AS (SELECT c_custkey, c_nationkey AS k FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT s_suppkey, s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0),
+JOIN_SQL = """WITH l AS (SELECT c_custkey, c_nationkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 100 ELSE 0 END AS k FROM customer), r AS (SELECT s_suppkey, s_nationkey + CASE WHEN s_acctbal < 0 THEN 200 ELSE 0 END AS k FROM supplier),
 j AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY s_suppkey) AS a, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS b FROM l JOIN r USING (k)),
 both_ AS (SELECT k, c_custkey, s_suppkey FROM j WHERE a = 1 AND b = 1) """
 
 
+def _suppliers(t: Tables) -> DataFrame:
+    return t.supplier.select("s_suppkey", F.expr("s_nationkey + case when s_acctbal < 0 then 200 else 0 end").alias("k"))
+
+
 def _wisely(t: Tables) -> dict[str, DataFrame]:
-    left = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_nationkey").alias("k"))
-    right = t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", F.col("s_nationkey").alias("k"))
+    # Some keys are changed to such as the other side does not have, so that both tables go in whole.
+    left = t.customer.select("c_custkey", F.expr("c_nationkey + case when c_mktsegment = 'BUILDING' then 100 else 0 end").alias("k"))
+    right = _suppliers(t)
     return joins.join_wisely(left, right, ["k"], "c_custkey", "s_suppkey")
 
 
@@ -171,24 +176,23 @@ def join_wisely_right_only(t: Tables) -> DataFrame:
     return _wisely(t)["right_only"]
 
 
-@query("""WITH j AS (SELECT c_nationkey AS k, c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_nationkey = s_nationkey)
+@query("""WITH j AS (SELECT c_nationkey AS k, c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey + CASE WHEN s_acctbal < 0 THEN 200 ELSE 0 END)
 SELECT k, c_custkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY s_suppkey NULLS LAST) AS a, s_suppkey IS NULL OR row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) = 1 AS b FROM j) WHERE a = 1 AND b""")
 def join_and_keep_order(t: Tables) -> DataFrame:
     left = t.customer.select("c_custkey", F.col("c_nationkey").alias("k"))
-    right = t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    return joins.join_and_keep_order(left, right, ["k"], "c_custkey", "s_suppkey", "left", "first")
+    return joins.join_and_keep_order(left, _suppliers(t), ["k"], "c_custkey", "s_suppkey", "left", "first")
 
 
-@query("SELECT coalesce(o_custkey, c_custkey) AS o_custkey, coalesce(o_custkey, c_custkey) AS c_custkey, o_orderkey, c_name FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) FULL JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("SELECT coalesce(o_custkey, c_custkey) AS o_custkey, coalesce(o_custkey, c_custkey) AS c_custkey, o_orderkey, c_name FROM (SELECT o_custkey + CASE WHEN o_orderstatus = 'O' THEN 1000000000 ELSE 0 END AS o_custkey, o_orderkey FROM orders) FULL JOIN (SELECT c_custkey, c_name FROM customer) ON o_custkey = c_custkey")
 def fast_merge(t: Tables) -> DataFrame:
-    left = t.orders.where("o_orderkey % 3 <> 0").select("o_custkey", "o_orderkey")
-    right = t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    left = t.orders.select(F.expr("o_custkey + case when o_orderstatus = 'O' then 1000000000 else 0 end").alias("o_custkey"), "o_orderkey")
+    right = t.customer.select("c_custkey", "c_name")
     return joins.fast_merge(left, right, "o_custkey", "c_custkey", "full")
 
 
-@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0) USING (c_custkey)")
+@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, o_orderkey FROM orders) USING (c_custkey)")
 def join_preserve_types(t: Tables) -> DataFrame:
-    right = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    right = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     return joins.join_and_preserve_types(t.customer.select("c_custkey", "c_name"), right, ["c_custkey"])
 
 

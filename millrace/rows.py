@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import DataError, MissingColumnsError
+from .storage import saved
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
@@ -18,6 +18,11 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
         raise MissingColumnsError(f"no columns {gone}")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and quotes included."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def require_batch(df: DataFrame) -> None:
     """Operators that need an order of all rows cannot run on a stream."""
     if df.isStreaming:
@@ -34,13 +39,13 @@ def is_numeric(df: DataFrame, column: str) -> bool:
 
 
 def is_missing(df: DataFrame, column: str) -> Column:
-    c = F.col(f"`{column}`")
+    c = named(column)
     return c.isNull() | F.isnan(c) if is_floating(df, column) else c.isNull()
 
 
 def no_nan(df: DataFrame) -> DataFrame:
     """NaN to NULL in every floating column."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in df.columns if is_floating(df, c)})
+    return df.withColumns({c: F.when(~F.isnan(named(c)), named(c)) for c in df.columns if is_floating(df, c)})
 
 
 def seeded_order(key: str | Column, seed: int = 42) -> Column:
@@ -52,12 +57,12 @@ def seeded_order(key: str | Column, seed: int = 42) -> Column:
 def _ranged(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
     """Rows sorted over ranges, with _range and _range_at, the range and the place in it.
 
-    The sorted rows are kept, because all passes over them must see the same ranges; ``spark.catalog.clearCache``
-    lets go of them.
+    The ranges are written to the shared folder, because all passes over them must see the same ones, whatever
+    executors are lost in between.
     """
     require_batch(df)
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    return ranged.withColumn("_range", F.shiftright("_m", 33).cast("int")).withColumn("_range_at", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_m", F.monotonically_increasing_id())
+    return saved(ranged.withColumn("_range", F.shiftright("_m", 33).cast("int")).withColumn("_range_at", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m"))
 
 
 def _offsets(ranged: DataFrame, size: Column) -> Column:
@@ -77,6 +82,18 @@ def with_row_id(df: DataFrame, order_by: list[str | Column], name: str = "row_id
     return ranged.withColumn(name, _offsets(ranged, F.count(F.lit(1))) + F.col("_range_at")).drop("_range", "_range_at")
 
 
+def with_rank(df: DataFrame, group_by: list[str], order_by: list[str | Column], name: str) -> DataFrame:
+    """Adds 1..n within each group in the order of ``order_by``; nulls are a group. Rows are numbered in ranges over
+    all groups and each group's first number is taken off, so no task sees the whole of a large group."""
+    numbered = with_row_id(df, [*[named(g).asc_nulls_first() for g in group_by], *order_by], "_row")
+    begins = numbered.groupBy(*[named(g).alias(f"_g{i}") for i, g in enumerate(group_by)]).agg(F.min("_row").alias("_begin"))
+    same = F.lit(True)
+    for i, g in enumerate(group_by):
+        same = same & numbered[f"`{g}`"].eqNullSafe(begins[f"_g{i}"])
+    ranked = numbered.join(begins, same).withColumn(name, F.col("_row") - F.col("_begin") + 1)
+    return ranked.drop("_row", "_begin", *[f"_g{i}" for i in range(len(group_by))])
+
+
 def first_rows(df: DataFrame, order_by: list[str | Column], n: int) -> DataFrame:
     """The first n rows, however many: a large limit would gather them in one task."""
     if n <= 100_000:

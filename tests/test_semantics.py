@@ -11,7 +11,7 @@ from millrace import errors
 from millrace.functions import arrays, colour, control, dates, hashing, numbers, text
 from millrace.operators import features, imputation, joins, models, sampling, search, statistics
 from millrace.operators import wrangling as w
-from millrace.rows import with_row_id
+from millrace.rows import with_rank, with_row_id
 from millrace.sources import excel, tables
 from millrace.streaming import stateless
 
@@ -344,3 +344,76 @@ def test_ranges_equal_global_windows(spark):
     got = with_running_total(df, [F.col("k")], "v", "s").select("id", "s")
     assert sorted(got.collect()) == sorted(want.collect())
     assert first_rows(df, [F.col("k")], 20).count() == 20
+
+
+def test_columns_with_dots_in_their_names(spark):
+    df = spark.createDataFrame([(1, "a", None, "x"), (2, "b", 2.0, "x"), (3, "b", 3.0, "x")], "id int, `meta.url` string, `a.b` double, `one.value` string")
+    assert w.select_columns(df, ["meta.url"]).columns == ["meta.url"]
+    assert w.move_columns(df, "front", "a.b").columns[0] == "a.b"
+    assert w.drop_bad_columns(df, 0.9).columns == ["id", "meta.url", "a.b"]
+    assert [r["a.b"] for r in w.fill_na(df, 0.0).orderBy("id").collect()] == [0.0, 2.0, 3.0]
+    assert w.select_max(df, "a.b", ["meta.url"]).first()["id"] == 3
+    assert w.column_extremes(df, ["a.b"]).first()["max_a.b"] == 3.0
+
+
+def test_null_coverage_of_a_wide_table(spark):
+    rows = [tuple(None if (i * 7 + j) % 13 == 0 else 1 for j in range(100)) for i in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} int" for j in range(100)))
+    covering = statistics.fully_covering_columns(df, "c0")
+    missing = [i for i, r in enumerate(rows) if r[0] is None]
+    assert covering == [f"c{j}" for j in range(1, 100) if all(rows[i][j] is not None for i in missing)]
+    best = statistics.best_coverage(df, "c0")
+    assert best and set(best) <= set(covering)
+    with pytest.raises(errors.DataError):
+        statistics.coverage_subsets(df, "c0")
+
+
+def test_best_coverage_is_the_best_subset(spark):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(4):
+        rows = [tuple(None if rng.random() < p else 1 for p in (0.2, 0.1, 0.3, 0.05, 0.4, 0.15)) for _ in range(12)]
+        df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int, f int")
+        listed = statistics.coverage_subsets(df, "a").orderBy(F.desc("score"), "n_columns", "columns").first()
+        assert statistics.best_coverage(df, "a") == (listed["columns"].split(",") if listed else [])
+
+
+def test_a_time_limit_stops_work(spark):
+    import time
+
+    steps = []
+
+    def loop():
+        while True:
+            steps.append(1)
+            time.sleep(0.01)
+
+    start = time.perf_counter()
+    with pytest.raises(errors.JobTimeoutError):
+        control.with_timeout(spark, loop, 0.5)
+    assert time.perf_counter() - start < 3
+    time.sleep(0.2)
+    done = len(steps)
+    time.sleep(0.2)
+    assert len(steps) == done  # the loop has ended
+    with pytest.raises(errors.JobTimeoutError):
+        control.with_timeout(spark, lambda: spark.range(10**11).selectExpr("sum(id % 7)").collect(), 0.5)
+    with pytest.raises(ZeroDivisionError):
+        control.with_timeout(spark, lambda: 1 / 0, 5)
+
+
+def test_ranks_within_one_large_class_are_dealt_in_ranges(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") < 19_000, "big").when(F.col("id") < 19_900, "small").alias("label"))
+    train, test = sampling.sample_per_group(df, ["label"], "id", n=500)
+    counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    assert counts == {"big": 500, "small": 500, None: 100} and train.count() + test.count() == 20_000
+    ranked = with_rank(df, ["label"], [F.col("id")], "n")
+    assert ranked.groupBy("label").agg(F.max("n").alias("m"), F.countDistinct("n").alias("d")).where("m <> d").count() == 0
+    assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_too_many_values_to_widen_by(spark, monkeypatch):
+    monkeypatch.setattr(w, "MOST_WIDENED", 3)
+    with pytest.raises(errors.DataError):
+        w.long_to_wide(spark.range(4).select("id", F.col("id").alias("w"), F.lit(1).alias("v")), ["id"], "w", ["v"])
