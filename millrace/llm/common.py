@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MissingArgumentError
+from ..rows import named as column
+from ..storage import discard, saved
+
+__all__ = ["ascii_lower", "column", "dealt", "discard", "packed_row", "prepare", "read", "saved", "sized_broadcast"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -43,47 +44,11 @@ def dealt(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def column(name: str) -> Column:
-    """A column by its whole name, whatever characters that holds."""
-    return F.col(f"`{name.replace('`', '``')}`")
-
-
 def packed_row(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct named row, so that none can clash with an operator's own."""
     return F.struct(*map(column, docs.columns)).alias("row")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines of the cluster share. In local mode, where one machine is all there is, an own one
-    is set if none is; elsewhere that is an error, since executors would write to disks that others cannot see."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise MissingArgumentError("set spark.checkpoint.dir to a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there, and no lost executor
-    can make a later step see other values than an earlier one."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._saved_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``saved`` wrote for ``df``, once no plan reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` does just that to pure ASCII, and far faster than ``translate``."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))

@@ -38,7 +38,7 @@ from .common import discard, prepare, saved
 #: Least share of the training tokens of a word with a unit of its own: 16,384 words at most can have it.
 SHARE = 1 / 16384
 #: Units for all other words, units to a class, state units, window, and lanes that run side by side.
-ENDINGS, CLASS, UNITS, WINDOW, LANES = 4096, 64, 32, 32, 128
+ENDINGS, CLASS, UNITS, WINDOW, LANES = 4096, 64, 24, 32, 128
 RATE, SHARES = 0.01, (0.15, 0.45, 1.0)  # step size; cumulative shares of the groups in each round
 BLOCK_BYTES, GROUP_TOKENS, FAN_IN = 16 << 20, 2_500_000, 16
 END = b""
