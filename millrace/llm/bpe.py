@@ -26,9 +26,9 @@ from .common import prepare
 
 #: Words that each cache of a task holds, the longest one it takes, and pairs of tokens known to fit or not.
 #: Between tasks an idle worker keeps the vocabulary only.
-CACHE, CACHE_CHARS, CACHE_PAIRS = 200_000, 64, 300_000
+CACHE, CACHE_CHARS, CACHE_PAIRS = 500_000, 64, 300_000
 #: Characters of text whose new words are encoded together, and marks that often end a word.
-PRIME_CHARS, MARKS = 4 << 20, ".,;:!?%&*#$|"
+PRIME_CHARS, MARKS = 12 << 20, ".,;:!?%&*#$|"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -208,8 +208,8 @@ class Encoder:
 
     def _stretch(self, text: str) -> bytes:
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return self.parts[text]  # one match of letters
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(text)))
+            return self._match(text)  # one match of letters
+        return b"".join([self.spaced[m[1:]] if m[0] == " " and m[1:].isalpha() else self.parts[m] for m in self.pattern.findall(text)])
 
     def prime(self, texts: list[str | None]) -> None:
         """Encodes the new words of ``texts`` in sorted order: a word's table of prefixes starts from that of the
@@ -217,10 +217,10 @@ class Encoder:
         words: set[str] = set()
         for t in texts:
             words.update((t or "").split(" "))
-        cores = {w.rstrip(MARKS) for w in words if w not in self.spaced}
+        cores = {w.rstrip(MARKS) for w in words if w not in self.spaced} - self.spaced.keys()
         matches = sorted((" " + w).encode() for w in cores if len(w) <= CACHE_CHARS and w.isalpha())
-        if len(self.parts) + len(matches) > CACHE:
-            self.parts.clear()
+        if len(self.spaced) + len(matches) > CACHE:
+            self.spaced.clear()
         before, last, v = b"", [], self.vocabulary
         for data in matches:
             shared = 0
@@ -231,7 +231,7 @@ class Encoder:
             del last[shared:]
             v.last_tokens(data, last)
             ids = v.walk(last, len(data))
-            self.parts[data.decode()] = struct.pack(f"<{len(ids)}I", *ids)
+            self.spaced[data[1:].decode()] = struct.pack(f"<{len(ids)}I", *ids)
             before = data
 
     def forget(self) -> None:
