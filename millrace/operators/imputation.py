@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, ImputationError, NoColumnsError, NotFittedError
-from ..rows import is_missing, is_numeric, require_columns
+from ..rows import is_missing, is_numeric, named, require_columns
+from .quantiles import grouped_medians, quantiles
 from .statistics import best_coverage, regression_metrics
 from .wrangling import columns_with_missing, missing_counts
 
@@ -59,9 +60,11 @@ class NaFillerFlagger:
         if self.fill_with not in ("median", "mean"):
             raise AmbiguousArgumentError("median or mean")
         chosen = columns or columns_with_missing(df, only_numeric=True)
-        statistic = F.median if self.fill_with == "median" else F.avg
-        row = df.agg(*[statistic(F.when(~is_missing(df, c), F.col(c))).alias(f"c{i}") for i, c in enumerate(chosen)]).first() if chosen else ()
-        self.fills = dict(zip(chosen, row))
+        if self.fill_with == "median":
+            self.fills = {c: v for c, (v,) in quantiles(df, {c: named(c) for c in chosen}, [0.5]).items()}
+        else:
+            row = df.agg(*[F.avg(F.when(~is_missing(df, c), named(c))).alias(f"c{i}") for i, c in enumerate(chosen)]).first() if chosen else ()
+            self.fills = dict(zip(chosen, row))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ class NaFillerFlagger:
         new = {}
         for c, v in self.fills.items():
             new[f"{c}_is_null"] = is_missing(df, c).cast("int")
-            new[c] = F.when(is_missing(df, c), F.lit(v)).otherwise(F.col(c))
+            new[c] = F.when(is_missing(df, c), F.lit(v)).otherwise(named(c))
         return df.withColumns(new)
 
 
@@ -79,11 +82,13 @@ def fill_na_and_flag(df: DataFrame, fill_with: str = "median") -> DataFrame:
 
 
 def fill_each_split(df: DataFrame, columns: list[str], split: str, fill_with: str = "mean") -> DataFrame:
-    """Fills each part of a split with its own statistic."""
-    statistic = F.median if fill_with == "median" else F.avg
-    stats = df.groupBy(F.col(split).alias("_part")).agg(*[statistic(F.when(~is_missing(df, c), F.col(c))).alias(f"_fill{i}") for i, c in enumerate(columns)])
-    joined = df.join(stats, df[split].eqNullSafe(stats["_part"]))
-    return joined.withColumns({c: F.when(is_missing(df, c), F.col(f"_fill{i}")).otherwise(F.col(c)) for i, c in enumerate(columns)}).select(*df.columns)
+    """Fills each part of a split with its own statistic. A part without values keeps its gaps."""
+    if fill_with == "median":
+        stats = grouped_medians(df, split, columns)
+    else:
+        stats = df.groupBy(named(split).alias("_part")).agg(*[F.avg(F.when(~is_missing(df, c), named(c))).alias(f"_fill{i}") for i, c in enumerate(columns)])
+    joined = df.join(stats, named(split).eqNullSafe(F.col("_part")), "left")
+    return joined.withColumns({c: F.when(is_missing(df, c), F.col(f"_fill{i}")).otherwise(named(c)) for i, c in enumerate(columns)}).select(*map(named, df.columns))
 
 
 @dataclass
@@ -111,10 +116,10 @@ class ColumnImputer:
         if not self.used:
             raise NoColumnsError(f"no columns to impute {self.column} from")
         known = df.where(~is_missing(df, self.column))
-        row = known.agg(*[F.median(F.when(~is_missing(df, c), F.col(c).cast("double"))) for c in self.used]).first()
+        medians = quantiles(known, {c: named(c) for c in self.used}, [0.5])
         if not known.limit(1).count():
             raise ImputationError(f"{self.column} is missing everywhere")
-        self.fills = {c: v if v is not None else 0.0 for c, v in zip(self.used, row)}
+        self.fills = {c: v if v is not None else 0.0 for c, (v,) in medians.items()}
         self.indexer = None
         label = F.col(self.column).cast("double")
         ready = self._features(known)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, ClusteringError, MissingArgumentError, NotFittedError
 from ..functions.control import with_timeout
-from ..rows import require_columns
+from ..rows import named, require_columns
+from .quantiles import quantiles
 
 
 def assembled(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
@@ -168,51 +169,82 @@ def _deltas(sd: float, mean: float, n: int) -> list[float]:
     return [reach * (2 * i / (n - 1) - 1) for i in range(n)] if n > 1 else [reach]
 
 
+#: A point's variable, and the value that it moves or is set to.
+Point = tuple[str, float]
+
+
+def _summaries(df: DataFrame, columns: Sequence[str], points: dict[str, list[float]], y: Callable[[str, Column], dict[str, Column]], statistics: dict[str, Column], shares: dict[str, list[float]]) -> tuple[dict[Point, dict], dict[str, dict[Point, list]]]:
+    """For each variable and point: ``statistics`` of the expressions that ``y`` makes of them, and exact quantiles.
+
+    For statistics a row meets its points within a task, and partial aggregates, one for each point, are all that is
+    shuffled. Quantiles are taken of an expression for each point. Both come to the driver. NaN counts as null.
+    """
+    clean = lambda x: F.when(~F.isnan(x.cast("double")), x.cast("double"))
+    found: dict[Point, dict] = {}
+    expressions: dict[str, dict[Point, Column]] = {n: {} for n in shares}
+    for c, values in points.items():
+        if not values:
+            continue
+        moved = df.select(*[named(x) for x in columns], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(values)])).alias("_at"))
+        made = moved.select(F.col("_at.i").alias("_i"), *[clean(e).alias(n) for n, e in y(c, F.col("_at.v")).items()])
+        rows = made.groupBy("_i").agg(*[s.alias(n) for n, s in statistics.items()]).collect()  # one for each point
+        found |= {(c, values[r["_i"]]): r.asDict() for r in rows}
+        for v in values:
+            for n, e in y(c, F.lit(v)).items():
+                if n in shares:
+                    expressions[n][c, v] = clean(e)
+    at = {n: {} for n in shares}
+    for n, some in expressions.items():
+        keys = list(some)
+        read = quantiles(df, {str(i): some[k] for i, k in enumerate(keys)}, shares[n])
+        at[n] = {k: read[str(i)] for i, k in enumerate(keys)}
+    return found, at
+
+
 def function_influence(df: DataFrame, function: Callable[[dict[str, Column]], Column], x_columns: Sequence[str], num_deltas: int = 200) -> DataFrame:
     """What a Column function of x columns makes of moving each of them by up to one sample deviation.
 
-    For each (variable, delta): mean, median, q1, q3, min, max and count of y, original_mean, and mean and
-    median of dy and of dy/delta. Each row meets a fixed number of deltas, given as an array, so no join is
-    needed and the work is rows times deltas.
+    For each (variable, delta): mean, median, q1, q3, min, max and count of y, original_mean, and mean and median of
+    dy and of dy/delta. Only aggregates are shuffled or come to the driver. NaN counts as null; a constant column moves
+    by a tenth of its mean; an empty table gives no rows.
     """
     if num_deltas < 1:
         raise AmbiguousArgumentError("at least one delta")
-    row = df.agg(*[f(c).alias(f"{n}_{c}") for c in x_columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    parts = []
-    for c in x_columns:
-        steps = [d for d in _deltas(row[f"s_{c}"] or 0.0, row[f"m_{c}"] or 0.0, num_deltas) if d]
-        moved = df.select(*x_columns, F.explode(F.array(*map(F.lit, steps))).alias("delta"))
-        before = function({x: F.col(x) for x in x_columns})
-        after = function({x: F.col(x) + F.col("delta") if x == c else F.col(x) for x in x_columns})
-        y = moved.select("delta", after.alias("y"), before.alias("y0"), (after - before).alias("dy"))
-        parts.append(y.groupBy(F.lit(c).alias("variable"), "delta").agg(
-            F.avg("y").alias("mean"), F.median("y").alias("median"), F.percentile("y", 0.25).alias("q1"), F.percentile("y", 0.75).alias("q3"), F.min("y").alias("min"), F.max("y").alias("max"), F.count("y").alias("count"),
-            F.avg("y0").alias("original_mean"), F.avg("dy").alias("mean_dy"), F.median("dy").alias("median_dy"), (F.avg("dy") / F.col("delta")).alias("mean_ratio"), (F.median("dy") / F.col("delta")).alias("median_ratio")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    here = {x: named(x) for x in x_columns}
+    before = function(here)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.avg(before).alias("y"), *[f(named(c)).alias(f"{n}_{c}") for c in x_columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    points = {c: [d for d in _deltas(row[f"s_{c}"] or 0.0, row[f"m_{c}"] or 0.0, num_deltas) if d] if row["n"] else [] for c in x_columns}
+
+    def moved(c: str, d: Column) -> dict[str, Column]:
+        after = function({**here, c: here[c] + d})
+        return {"y": after, "dy": after - before}
+
+    statistics = {"mean": F.avg("y"), "min": F.min("y"), "max": F.max("y"), "count": F.count("y"), "mean_dy": F.avg("dy")}
+    found, at = _summaries(df, x_columns, points, moved, statistics, {"y": [0.25, 0.5, 0.75], "dy": [0.5]})
+    rows = []
+    for (c, d), s in found.items():
+        (q1, median, q3), (median_dy,) = at["y"][c, d], at["dy"][c, d]
+        ratios = [None if v is None else v / d for v in (s["mean_dy"], median_dy)]
+        rows.append((c, d, s["mean"], median, q1, q3, s["min"], s["max"], s["count"], row["y"], s["mean_dy"], median_dy, *ratios))
+    schema = "variable string, delta double, mean double, median double, q1 double, q3 double, min double, max double, count bigint, original_mean double, mean_dy double, median_dy double, mean_ratio double, median_ratio double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def influence_simulation(df: DataFrame, function: Callable[[dict[str, Column]], Column], columns: Sequence[str], num_points: int = 200, few: int = 10) -> DataFrame:
     """Columns of more than ``few`` values are set to points within two population deviations of their mean,
-    others to each of their values: y mean, sd, q1, median, q3 for each (variable, value)."""
-    row = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    parts = []
+    others to each of their values: y mean, sd, q1, median, q3 for each (variable, value). NaN counts as null."""
+    if not columns:
+        raise MissingArgumentError("no columns")
+    row = df.agg(*[f(named(c)).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    here, points = {x: named(x) for x in columns}, {}
     for c in columns:
         # One value more than ``few`` is all it takes to tell.
-        values = df.select(c).where(F.col(c).isNotNull()).distinct().limit(few + 1).collect()
+        values = df.select(named(c)).where(named(c).isNotNull()).distinct().limit(few + 1).collect()
         if len(values) > few:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
-            points = [m + s * (4 * i / max(num_points - 1, 1) - 2) for i in range(num_points)]
+            points[c] = [m + s * (4 * i / max(num_points - 1, 1) - 2) for i in range(num_points)]
         else:
-            points = sorted(float(r[0]) for r in values)
-        moved = df.select(*columns, F.explode(F.array(*map(F.lit, points))).alias("value"))
-        y = function({x: F.col("value") if x == c else F.col(x) for x in columns})
-        parts.append(moved.select("value", y.alias("y")).groupBy(F.lit(c).alias("variable"), "value").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"), F.percentile("y", 0.25).alias("q1"), F.median("y").alias("median"), F.percentile("y", 0.75).alias("q3")))
-    if not parts:
-        raise MissingArgumentError("no columns")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            points[c] = sorted(float(r[0]) for r in values)
+    found, at = _summaries(df, columns, points, lambda c, v: {"y": function({**here, c: v})}, {"mean": F.avg("y"), "sd": F.stddev_pop("y")}, {"y": [0.25, 0.5, 0.75]})
+    rows = [(c, v, s["mean"], s["sd"], *at["y"][c, v]) for (c, v), s in found.items()]
+    return df.sparkSession.createDataFrame(rows, "variable string, value double, mean double, sd double, q1 double, median double, q3 double")

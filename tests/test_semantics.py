@@ -417,3 +417,39 @@ def test_too_many_values_to_widen_by(spark, monkeypatch):
     monkeypatch.setattr(w, "MOST_WIDENED", 3)
     with pytest.raises(errors.DataError):
         w.long_to_wide(spark.range(4).select("id", F.col("id").alias("w"), F.lit(1).alias("v")), ["id"], "w", ["v"])
+
+
+def test_exact_quantiles_by_narrowing(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from millrace.operators import quantiles as q
+
+    n, draw = 6001, np.random.default_rng(1)
+    table = pd.DataFrame({"g": draw.integers(0, 3, n).astype(str), "a": draw.normal(size=n), "hot": np.where(draw.random(n) < 0.4, 5.0, draw.integers(0, 10_000, n)), "same": np.full(n, 7.0), "step": np.where(draw.random(n) < 0.5, 1.0, 2.0 + draw.random(n))})
+    table.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(table).withColumn("none", F.lit(None).cast("double"))
+    shares, names = [0, 0.25, 0.5, 0.75, 1], ["a", "hot", "same", "step"]
+    for few in (10**6, 400):
+        monkeypatch.setattr(q, "FEW", few)
+        monkeypatch.setattr(q, "NARROW", few)
+        got = q.quantiles(df, {c: F.col(c) for c in [*names, "none"]}, shares)
+        for c in names:
+            assert got[c] == pytest.approx(list(np.nanquantile(table[c], shares)), abs=1e-9)
+        assert got["none"] == [None] * 5
+    assert q.quantiles(df.limit(0), {"a": F.col("a")}, [0.5]) == {"a": [None]}
+    want = table.groupby("g")[names].median()
+    for r in q.grouped_medians(df, "g", names).collect():
+        assert list(r)[1:] == pytest.approx(list(want.loc[r["_part"]]), abs=1e-9)
+
+
+def test_a_part_without_values_keeps_its_gaps(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None), (None, 4.0), (None, None)], "part string, x double")
+    for with_ in ("median", "mean"):
+        filled = imputation.fill_each_split(df, ["x"], "part", with_)
+        assert sorted((r["part"] or "", r["x"] or 0.0) for r in filled.collect()) == [("", 4.0), ("", 4.0), ("a", 1.0), ("a", 1.0), ("b", 0.0)]
+
+
+def test_influence_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "x double")
+    assert models.function_influence(df, lambda c: c["x"], ["x"], 3).count() == 0
