@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import column, packed_row, saved, sized_broadcast
 
 RATIO, LEAST_PAGES = 0.02, 5
+#: Pages below which nothing is boilerplate: two pages may quote or copy each other.
+FEWEST_PAGES = 3
 #: Boilerplate lines up to which the sets are broadcast.
 BROADCAST_LINES = 500_000
 
@@ -27,12 +29,15 @@ def _digest(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, digest, pages, host_pages) of the lines on more than ``ratio`` of a host's pages and on at least
-    ``least_pages`` of them. Lines are compared without the spaces around them; blank ones never count."""
+    ``least_pages`` of them; on a small host, more than half its pages will do, and FEWEST_PAGES. Lines are compared
+    without the spaces around them; blank ones never count."""
+    fewest = min(FEWEST_PAGES, least_pages)
     pages = docs.select(column(host).alias("host"), F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _digest)).alias("digests"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    counts = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+    counts = pages.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= fewest)
     totals = totals.withColumnRenamed("host", "_host")
-    return counts.join(totals, counts["host"].eqNullSafe(totals["_host"])).where(F.col("pages") > ratio * F.col("host_pages")).drop("_host")
+    enough = F.least(F.lit(least_pages), F.greatest(F.lit(fewest), F.floor(F.col("host_pages") / 2) + 1))
+    return counts.join(totals, counts["host"].eqNullSafe(totals["_host"])).where((F.col("pages") > ratio * F.col("host_pages")) & (F.col("pages") >= enough)).drop("_host")
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -64,7 +69,7 @@ WITH pages AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(co
 totals AS (SELECT source, count(*) AS host_pages FROM pages GROUP BY source),
 seen AS (SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM pages),
 bad AS (SELECT s.source, s.line FROM (SELECT source, line, count(*) AS n FROM seen GROUP BY source, line) s
-  JOIN totals t ON s.source IS NOT DISTINCT FROM t.source WHERE n >= {LEAST_PAGES} AND n > {RATIO}::DOUBLE * host_pages),
+  JOIN totals t ON s.source IS NOT DISTINCT FROM t.source WHERE n >= least({LEAST_PAGES}, greatest({FEWEST_PAGES}, host_pages // 2 + 1)) AND n > {RATIO}::DOUBLE * host_pages),
 cut AS (SELECT r, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, source FROM pages),
 kept AS (SELECT c.r, string_agg(c.line, chr(10) ORDER BY c.i) AS text, count(*) AS n FROM cut c
   ANTI JOIN bad b ON c.source IS NOT DISTINCT FROM b.source AND trim(c.line) = b.line GROUP BY c.r)

@@ -452,6 +452,9 @@ def test_line_dedup(spark):
         assert (r["text"], r["n_lines"], r["n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
     few = line_dedup.drop_boilerplate(table(spark, ["x\ny", "x"], sources=[None, None]))
     assert sum(r["n_dropped"] for r in few.collect()) == 0
+    # A small host: three pages of four are more than half, two of four are not.
+    small = line_dedup.drop_boilerplate(table(spark, ["menu\na\nquote", "menu\nb\nquote", "menu\nc", "d"], sources=["s"] * 4))
+    assert sorted(r["text"] for r in small.collect()) == ["a\nquote", "b\nquote", "c", "d"]
 
 
 def test_language_model(spark):
