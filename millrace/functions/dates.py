@@ -20,9 +20,10 @@ FORMATS = (
     "%b %d, %Y", "%B %d, %Y", "%B %d %Y", "%m/%d/%Y", "%m/%d/%y", "%b %Y", " %B%Y", "%b %d,%Y",
 )
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-# What each part of a format stands for; a space is any white space.
+_LETTERS = "".join(m[:3] for m in MONTHS)
+# What each part of a format stands for; a space is any white space, and there is no year 0.
 _PARTS = {
-    "%Y": r"(\d{4})", "%y": r"(\d{2})", "%m": r"(1[0-2]|0[1-9]|[1-9])", "%d": r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])",
+    "%Y": r"(?!0000)(\d{4})", "%y": r"(\d{2})", "%m": r"(1[0-2]|0[1-9]|[1-9])", "%d": r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])",
     "%b": "(" + "|".join(m[:3] for m in MONTHS) + ")", "%B": "(" + "|".join(MONTHS) + ")",
 }
 
@@ -65,30 +66,35 @@ def string_to_date(s: Column) -> Column:
 
 
 def _parsed(s: Column, fmt: str) -> Column:
-    """The date that ``fmt`` finds in the whole of ``s``, else null; a missing month or day is the first."""
+    """The date that ``fmt`` finds in the whole of ``s``, else null; a missing month or day is the first.
+
+    A text without the format's punctuation is not matched at all, any other once, and each part of one that fits is
+    taken once: the expression is small, however often it is used."""
     pieces = re.split("(%.)", fmt)
-    pattern = "".join(_PARTS.get(x) or re.sub(r"\s+", r"\\s+", re.escape(x).replace("\\ ", " ")) for x in pieces)
-    part = {x: F.regexp_extract(s, f"(?i)^{pattern}$", n) for n, x in enumerate((x for x in pieces if x in _PARTS), 1)}
-    year = part["%Y"].try_cast("int") if "%Y" in part else None
-    if year is None:
-        two = part["%y"].try_cast("int")
-        year = two + F.when(two < 69, 2000).otherwise(1900)
-    month, day = F.lit(1), F.lit(1)
+    pattern = "(?i)^" + "".join(_PARTS.get(x) or re.sub(r"\s+", r"\\s+", re.escape(x).replace("\\ ", " ")) for x in pieces) + "$"
+    part = {x: F.regexp_extract(s, pattern, n) for n, x in enumerate((x for x in pieces if x in _PARTS), 1)}
+    fits = s.rlike(pattern)
+    for mark in sorted(set("".join(x for x in pieces if x not in _PARTS)) - {" "}):
+        fits = s.contains(mark) & fits
+    year = part["%Y"] if "%Y" in part else (F.pmod(part["%y"].try_cast("int") - 69, F.lit(100)) + 1969).cast("string")
+    month, day = F.lit("01"), F.lit("01")
     if "%m" in part:
-        month = part["%m"].try_cast("int")
+        month = F.lpad(part["%m"], 2, "0")
     elif "%b" in part or "%B" in part:
-        month = month_number(part["%b" if "%b" in part else "%B"])
+        letters = F.lower(F.substring(part["%b" if "%b" in part else "%B"], 1, 3))
+        month = F.lpad(((F.instr(F.lit(_LETTERS), letters) + 2) / 3).cast("int").cast("string"), 2, "0")
     if "%d" in part:
-        day = F.trim(part["%d"]).try_cast("int")
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    # concat_ws leaves nulls out, and a text of fewer parts is no date.
-    return F.when(year >= 1, F.try_to_date(text, "yyyy-MM-dd"))
+        day = F.lpad(F.trim(part["%d"]), 2, "0")
+    return F.when(fits, F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
 
 
 def parse_date(s: Column, fmt: str | None = None) -> Column:
     """The date by the first of ``FORMATS`` that fits the whole text, else null; or by ``fmt`` alone, of the same
-    parts (%Y, %y, %m, %d, %b, %B). Names of months in any case; two-digit years are 1969 to 2068."""
-    return F.coalesce(*[_parsed(s, f) for f in ([fmt] if fmt else FORMATS)])
+    parts (%Y, %y, %m, %d, %b, %B). Names of months in any case; two-digit years are 1969 to 2068.
+
+    The formats stand inside a function of the text: unrolled into generated code they make a method that the JVM does
+    not compile, and ``s`` would be computed for each of their parts."""
+    return F.transform(F.array(s), lambda x: F.coalesce(*[_parsed(x, f) for f in ([fmt] if fmt else FORMATS)]))[0]
 
 
 def year_month(d: Column) -> Column:
@@ -159,7 +165,7 @@ def month_name(n: Column, abr: bool = False) -> Column:
 
 def month_number(name: Column) -> Column:
     """By the first three letters, in any case; null for other words."""
-    at = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3)))
+    at = F.instr(F.lit(_LETTERS), F.lower(F.substring(name, 1, 3)))
     return F.when((F.length(name) >= 3) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
 
 

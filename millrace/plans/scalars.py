@@ -127,8 +127,8 @@ _ODD = {"03/04/2020": "2020-03-04", "13-02-2020": None, "2021-02-30": None, "05/
 @query(f"SELECT o_orderkey, i::INTEGER AS i, CAST(CASE w WHEN 'day' THEN {D} ELSE date_trunc(w, {D}) END AS DATE) AS d FROM orders, (SELECT unnest({list(range(len(_FORMS)))}) AS i, unnest({list(_FORMS.values())}) AS w)")
 def parse_date(t: Tables) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
-    tries = F.array(*[dates.parse_date(F.date_format(d, f)) for f in _FORMS])
-    return t.orders.select("o_orderkey", F.posexplode(tries).alias("i", "d"))
+    texts = F.array(*[F.date_format(d, f) for f in _FORMS])
+    return t.orders.select("o_orderkey", F.posexplode(texts).alias("i", "s")).select("o_orderkey", "i", dates.parse_date(F.col("s")).alias("d"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', CAST({f"'{d}'" if d else 'NULL'} AS DATE))" for s, d in _ODD.items()) + ") AS v(s, d)")

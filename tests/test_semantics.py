@@ -453,3 +453,19 @@ def test_a_part_without_values_keeps_its_gaps(spark):
 def test_influence_of_an_empty_table(spark):
     df = spark.createDataFrame([], "x double")
     assert models.function_influence(df, lambda c: c["x"], ["x"], 3).count() == 0
+
+
+def test_parse_date_stays_small(spark):
+    """All formats on one text, whatever it takes to compute it, as one small function: 18 texts took minutes."""
+    from millrace.plans.catalogue import QUERIES
+
+    plan = dates.parse_date(F.concat(F.lit("20"), F.col("s")))
+    df = spark.createDataFrame([("21-03-04",), ("21/3/ 4",), ("00-13",), ("x",), (None,)], "s string")
+    shown = df.select(plan)._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("concat(20") <= 2  # in the array, and perhaps in the name
+    assert [r[0] for r in df.select(plan).collect()] == [dt.date(2021, 3, 4), dt.date(2021, 3, 4), None, None, None]
+    odd = {"0000-01-01": None, "01/02/30": dt.date(2030, 1, 2), "29/2/29": None, "00-02-29": dt.date(2000, 2, 29), "FEBRUARY 29 2021": None, "may 5,2021": dt.date(2021, 5, 5), " June2020": dt.date(2020, 6, 1), "9999-12-31": dt.date(9999, 12, 31)}
+    got = spark.createDataFrame([(s,) for s in odd], "s string").select("s", dates.parse_date(F.col("s"))).collect()
+    assert {r[0]: r[1] for r in got} == odd
+    query = QUERIES["parse_date"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert query.count("RLIKE") + query.count("rlike") <= 18
