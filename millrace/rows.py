@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +48,20 @@ def no_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(named(c)), named(c)) for c in df.columns if is_floating(df, c)})
 
 
+def joined_to_groups(df: DataFrame, groups: DataFrame, keys: Mapping[str, str], how: str = "inner", null_safe: bool = True) -> DataFrame:
+    """``df`` joined to a table with one row a group, by its columns and those of ``groups`` in ``keys``.
+
+    The groups are written first, so that Catalyst plans with their true size: few are broadcast, where a join by key
+    would put the whole of a large group into one task. Among many, skewed ones are split as in any join.
+    """
+    groups = saved(groups)
+    same = F.lit(True)
+    for mine, theirs in keys.items():
+        a, b = df[f"`{mine.replace('`', '``')}`"], groups[f"`{theirs.replace('`', '``')}`"]
+        same = same & (a.eqNullSafe(b) if null_safe else a == b)
+    return df.join(groups, same, how)
+
+
 def seeded_order(key: str | Column, seed: int = 42) -> Column:
     """A reproducible shuffle: order by this digest. Any SQL engine can compute the same."""
     key = F.col(key) if isinstance(key, str) else key

@@ -469,3 +469,41 @@ def test_parse_date_stays_small(spark):
     assert {r[0]: r[1] for r in got} == odd
     query = QUERIES["parse_date"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert query.count("RLIKE") + query.count("rlike") <= 18
+
+
+def _by_windows(left, right, on, left_id, right_id, how, keep):
+    """What join_and_keep_order does with repeated ids, over all pairs."""
+    from pyspark.sql import Window
+
+    joined, ok = left.join(right, on, how), F.lit(True)
+    for mine in (left_id, right_id):
+        over = Window.partitionBy(mine)
+        order = [F.col(x).asc_nulls_last() if keep == "first" else F.col(x).desc_nulls_last() for x in (left_id, right_id)]
+        unique = F.count(F.lit(1)).over(over) == 1 if keep == "none" else F.row_number().over(over.orderBy(*order)) == 1
+        joined = joined.withColumn(f"_ok_{mine}", unique | F.col(mine).isNull())
+        ok = ok & F.col(f"_ok_{mine}")
+    return joined.where(ok).drop(f"_ok_{left_id}", f"_ok_{right_id}")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full_outer"])
+def test_joins_without_all_pairs_equal_those_with(spark, how):
+    # Keys on one side or both, once and often, null; ids that are null, and ids that are repeated under other keys.
+    left = spark.createDataFrame([(i % 7 if i % 5 else None, None if i in (3, 10, 11, 24, 31) else i - 6 if i in (29, 33) else i, f"l{i}") for i in range(40)] + [(20, 90, "x"), (21, 91, "y"), (9, 92, "z")], "k int, a int, p string")
+    right = spark.createDataFrame([(i % 9 if i % 4 else None, None if i in (3, 17, 21, 30) else i - 11 if i in (34, 38) else i, f"r{i}") for i in range(40)] + [(20, 95, "x"), (22, 96, "y"), (9, None, "z")], "k long, b int, q string")
+    for keep in ("first", "last", "none"):
+        got = joins.join_and_keep_order(left, right, ["k"], "a", "b", how, keep)
+        want = _by_windows(left, right, ["k"], "a", "b", how, keep)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_joins_of_a_large_key_make_no_pairs(spark):
+    """Forty thousand rows a side and one key are 1.6 billion pairs."""
+    left, right = spark.range(40_000).select(F.lit(1).alias("k"), F.col("id").alias("a")), spark.range(40_000).select(F.lit(1).alias("k"), (-F.col("id")).alias("b"))
+    got = joins.join_wisely(left, right, ["k"], "a", "b")
+    assert [tuple(r) for r in got["both"].collect()] == [(1, 0, -39_999)]
+    assert (got["left_only"].count(), got["right_only"].count()) == (39_999, 39_999)
+    whole = joins.join_wisely(left, right, ["k"], "a", "b", remove_duplicates=False)
+    assert (whole["left_only"].count(), whole["right_only"].count()) == (0, 0)
+    for keep, want in (("first", [(1, 0, -39_999)]), ("last", [(1, 39_999, 0)]), ("none", [])):
+        assert [tuple(r) for r in joins.join_and_keep_order(left, right, ["k"], "a", "b", "left", keep).collect()] == want
