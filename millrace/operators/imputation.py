@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, ImputationError, NoColumnsError, NotFittedError
-from ..rows import is_missing, is_numeric, named, require_columns
+from ..rows import is_missing, is_numeric, joined_to_groups, named, require_columns
 from .quantiles import grouped_medians, quantiles
 from .statistics import best_coverage, regression_metrics
 from .wrangling import columns_with_missing, missing_counts
@@ -32,10 +32,7 @@ def impute_with_regression(df: DataFrame, based_on: str, columns: list[str], gro
     lines = df.groupBy(*(group_by or [])).agg(*aggs)
     if group_by:
         lines = lines.withColumnsRenamed({g: f"_key_{g}" for g in group_by})
-        condition = F.lit(True)
-        for g in group_by:
-            condition = condition & df[g].eqNullSafe(lines[f"_key_{g}"])
-        joined = df.join(lines, condition)
+        joined = joined_to_groups(df, lines, {g: f"_key_{g}" for g in group_by})
     else:
         joined = df.crossJoin(F.broadcast(lines))  # one row
     new = {}
@@ -87,7 +84,7 @@ def fill_each_split(df: DataFrame, columns: list[str], split: str, fill_with: st
         stats = grouped_medians(df, split, columns)
     else:
         stats = df.groupBy(named(split).alias("_part")).agg(*[F.avg(F.when(~is_missing(df, c), named(c))).alias(f"_fill{i}") for i, c in enumerate(columns)])
-    joined = df.join(stats, named(split).eqNullSafe(F.col("_part")), "left")
+    joined = joined_to_groups(df, stats, {split: "_part"}, "left")
     return joined.withColumns({c: F.when(is_missing(df, c), F.col(f"_fill{i}")).otherwise(named(c)) for i, c in enumerate(columns)}).select(*map(named, df.columns))
 
 

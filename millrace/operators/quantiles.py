@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rows import named, with_running_total
+from ..rows import joined_to_groups, named, with_running_total
 
 #: Values that one job reads quantiles from directly, of all its columns together.
 FEW = 1_000_000
@@ -146,7 +146,7 @@ def grouped_medians(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
     counts = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("_part", "i", "v").agg(F.count(F.lit(1)).alias("n"))
     summed = with_running_total(counts, [F.col("_part").asc_nulls_first(), F.col("i"), F.col("v")], "n", "_end")
     sizes = summed.groupBy(F.col("_part").alias("_p"), F.col("i").alias("_i")).agg(F.min(F.col("_end") - F.col("n")).alias("_begin"), F.sum("n").alias("_size"))
-    placed = summed.join(sizes, summed["_part"].eqNullSafe(sizes["_p"]) & (F.col("i") == F.col("_i")))
+    placed = joined_to_groups(summed, sizes, {"_part": "_p", "i": "_i"})
     first, end = F.col("_end") - F.col("n") - F.col("_begin"), F.col("_end") - F.col("_begin")
     low, high = F.expr("(_size - 1) div 2"), F.expr("_size div 2")
     holds = lambda rank: (first <= rank) & (rank < end)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousArgumentError, DataError, MissingArgumentError
-from ..rows import first_rows, require_batch, require_columns, seeded_order, with_rank, with_row_id, with_running_total
+from ..rows import first_rows, joined_to_groups, named, require_batch, require_columns, seeded_order, with_rank, with_row_id, with_running_total
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str | None = None) -> DataFrame:
@@ -30,11 +30,8 @@ def sample_per_group(df: DataFrame, group_by: list[str], key: str, ratio: float
     ranked = with_rank(df, group_by, [seeded_order(key, seed), F.col(key)], "_rank")
     take = F.lit(n) if ratio is None else F.bround(F.col("_size") * ratio)
     if ratio is not None:
-        sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_size"))
-        condition = F.lit(True)
-        for g in group_by:
-            condition = condition & ranked[g].eqNullSafe(sizes[g])
-        ranked = ranked.join(sizes, condition).drop(*[sizes[g] for g in group_by])
+        sizes = df.groupBy(*[named(g).alias(f"_s{i}") for i, g in enumerate(group_by)]).agg(F.count(F.lit(1)).alias("_size"))
+        ranked = joined_to_groups(ranked, sizes, {g: f"_s{i}" for i, g in enumerate(group_by)}).drop(*[f"_s{i}" for i in range(len(group_by))])
     chosen = F.col("_rank") <= take
     return ranked.where(chosen).drop("_rank", "_size"), ranked.where(~chosen).drop("_rank", "_size")
 
@@ -126,7 +123,7 @@ class UpSampler:
     def upsample(self, df: DataFrame, key: str) -> DataFrame:
         labelled = df.select("*", self._value(self.label))
         targets = self.targets.withColumnRenamed("_label", "_target")
-        joined = labelled.join(targets, labelled["_label"].eqNullSafe(targets["_target"]))
+        joined = joined_to_groups(labelled, targets, {"_label": "_target"})
         copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil("_repeats").cast("int"))))
         kept = with_rank(copies, ["_label"], [F.col("_copy"), F.col(key)], "_rank").where("_rank <= _want")
         return kept.withColumn(self.label, F.col("_label")).drop("_label", "_target", "_repeats", "_want", "_copy", "_rank")

@@ -101,10 +101,7 @@ def with_rank(df: DataFrame, group_by: list[str], order_by: list[str | Column],
     all groups and each group's first number is taken off, so no task sees the whole of a large group."""
     numbered = with_row_id(df, [*[named(g).asc_nulls_first() for g in group_by], *order_by], "_row")
     begins = numbered.groupBy(*[named(g).alias(f"_g{i}") for i, g in enumerate(group_by)]).agg(F.min("_row").alias("_begin"))
-    same = F.lit(True)
-    for i, g in enumerate(group_by):
-        same = same & numbered[f"`{g}`"].eqNullSafe(begins[f"_g{i}"])
-    ranked = numbered.join(begins, same).withColumn(name, F.col("_row") - F.col("_begin") + 1)
+    ranked = joined_to_groups(numbered, begins, {g: f"_g{i}" for i, g in enumerate(group_by)}).withColumn(name, F.col("_row") - F.col("_begin") + 1)
     return ranked.drop("_row", "_begin", *[f"_g{i}" for i in range(len(group_by))])
 
 

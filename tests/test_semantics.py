@@ -507,3 +507,15 @@ def test_joins_of_a_large_key_make_no_pairs(spark):
     assert (whole["left_only"].count(), whole["right_only"].count()) == (0, 0)
     for keep, want in (("first", [(1, 0, -39_999)]), ("last", [(1, 39_999, 0)]), ("none", [])):
         assert [tuple(r) for r in joins.join_and_keep_order(left, right, ["k"], "a", "b", "left", keep).collect()] == want
+
+
+def test_rows_are_not_dealt_by_a_few_groups(spark):
+    """Statistics of groups come to the rows; dealt by group, half of a table would meet in one task."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.lit("N")).alias("g"), (F.col("id") % 50).cast("double").alias("x"), F.expr("if(id % 5 = 0, null, id * 2.0)").alias("y"))
+    with_lines = imputation.impute_with_regression(df, "x", ["y"], ["g"])
+    for filled in (with_lines, imputation.fill_each_split(df, ["y"], "g"), imputation.fill_each_split(df, ["y"], "g", "median"), with_rank(df, ["g"], [F.col("id")], "n")):
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert (filled.count(), filled.where("y is null").count()) == (20_000, 4_000 if filled.columns[-1] == "n" else 0)
+    many = spark.range(2_000).select("id", (F.col("id") % 1_000).alias("g"), F.col("id").cast("double").alias("x"), F.expr("if(id >= 1000, null, 1.0)").alias("y"))
+    assert imputation.fill_each_split(many, ["y"], "g").where("y = 1").count() == 2_000
