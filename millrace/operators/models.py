@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..errors import AmbiguousArgumentError, ClusteringError, MissingArgumentError, NotFittedError
 from ..functions.control import with_timeout
 from ..rows import named, require_columns
-from .quantiles import quantiles
+from ..storage import saved
+from .quantiles import FEW, JOBS, quantiles
 
 
 def assembled(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
@@ -173,31 +174,69 @@ def _deltas(sd: float, mean: float, n: int) -> list[float]:
 Point = tuple[str, float]
 
 
-def _summaries(df: DataFrame, columns: Sequence[str], points: dict[str, list[float]], y: Callable[[str, Column], dict[str, Column]], statistics: dict[str, Column], shares: dict[str, list[float]]) -> tuple[dict[Point, dict], dict[str, dict[Point, list]]]:
+#: Statistics by name: of a column, and of one whose values stand for several rows each.
+_PLAIN = {"avg": F.avg, "sd": F.stddev_pop, "min": F.min, "max": F.max, "count": F.count}
+_WEIGHTED = {
+    "avg": lambda y, n: F.sum(y * n) / F.sum(F.when(y.isNotNull(), n)), "sd": lambda y, n: F.sum(y * n) / F.sum(F.when(y.isNotNull(), n)), "min": lambda y, n: F.min(y), "max": lambda y, n: F.max(y),
+    "count": lambda y, n: F.coalesce(F.sum(F.when(y.isNotNull(), n)), F.lit(0)),
+}
+
+
+def _clean(x: Column) -> Column:
+    return F.when(~F.isnan(x.cast("double")), x.cast("double"))
+
+
+def _at_points(df: DataFrame, columns: Sequence[str], values: Sequence[float], y: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """_i and what ``y`` makes of each row and the i-th value; a row meets its points within a task."""
+    moved = df.select(*[named(x) for x in columns], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(values)])).alias("_at"))
+    return moved.select(F.col("_at.i").alias("_i"), *[named(x) for x in columns if x == "_n"], *[_clean(e).alias(n) for n, e in y(F.col("_at.v")).items()])
+
+
+def _weighted(cells: DataFrame, columns: Sequence[str], values: Sequence[float], y: Callable[[Column], dict[str, Column]], statistics: dict[str, tuple[str, str]], shares: dict[str, list[float]]) -> tuple[list[dict], dict[str, list[list]]]:
+    """For each value the statistics and quantiles of rows that stand _n times each."""
+    made, n = _at_points(cells, [*columns, "_n"], values, y), F.col("_n")
+    plain = [_WEIGHTED[kind](F.col(of), n).alias(name) for name, (kind, of) in statistics.items()]
+    rows = {r["_i"]: r.asDict() for r in made.groupBy("_i").agg(*plain, *[F.percentile(of, list(p), n).alias(f"_at_{of}") for of, p in shares.items()]).collect()}
+    spread = {name: of for name, (kind, of) in statistics.items() if kind == "sd"}
+    if spread:
+        # Around the mean, which takes a pass of its own but loses no digits.
+        off = {name: F.col(of) - F.element_at(F.array(*[F.lit(rows[i][name]).cast("double") for i in range(len(values))]), F.col("_i") + 1) for name, of in spread.items()}
+        for r in made.groupBy("_i").agg(*[F.sqrt(_WEIGHTED["avg"](x * x, n)).alias(name) for name, x in off.items()]).collect():
+            rows[r["_i"]] |= {name: r[name] for name in spread}
+    return [rows[i] for i in range(len(values))], {of: [rows[i][f"_at_{of}"] or [None] * len(p) for i in range(len(values))] for of, p in shares.items()}
+
+
+def _summaries(df: DataFrame, columns: Callable[[str], Sequence[str]], points: dict[str, list[float]], y: Callable[[str, Column], dict[str, Column]], statistics: dict[str, tuple[str, str]], shares: dict[str, list[float]]) -> tuple[dict[Point, dict], dict[str, dict[Point, list]]]:
     """For each variable and point: ``statistics`` of the expressions that ``y`` makes of them, and exact quantiles.
 
-    For statistics a row meets its points within a task, and partial aggregates, one for each point, are all that is
-    shuffled. Quantiles are taken of an expression for each point. Both come to the driver. NaN counts as null.
+    ``columns`` names what the expressions of a variable are made of. Rows that are equal in them are counted, and met
+    with the points once; where up to FEW are different, nothing more than the count reads the table. Of more, partial
+    aggregates of all rows, one for each point, are shuffled, and quantiles are taken of an expression for each point.
+    Only results come to the driver. NaN counts as null.
     """
-    clean = lambda x: F.when(~F.isnan(x.cast("double")), x.cast("double"))
     found: dict[Point, dict] = {}
-    expressions: dict[str, dict[Point, Column]] = {n: {} for n in shares}
+    at: dict[str, dict[Point, list]] = {n: {} for n in shares}
     for c, values in points.items():
         if not values:
             continue
-        moved = df.select(*[named(x) for x in columns], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(values)])).alias("_at"))
-        made = moved.select(F.col("_at.i").alias("_i"), *[clean(e).alias(n) for n, e in y(c, F.col("_at.v")).items()])
-        rows = made.groupBy("_i").agg(*[s.alias(n) for n, s in statistics.items()]).collect()  # one for each point
+        made = lambda v, c=c: y(c, v)
+        cells = saved(df.groupBy(*map(named, columns(c))).agg(F.count(F.lit(1)).alias("_n")))
+        different = cells.count()
+        if different <= FEW:
+            step = max(1, FEW // max(1, different))
+            parts = [values[start : start + step] for start in range(0, len(values), step)]
+            with ThreadPoolExecutor(JOBS) as pool:
+                done = list(pool.map(lambda some: _weighted(cells, columns(c), some, made, statistics, shares), parts))
+            for some, (rows, ranks) in zip(parts, done):
+                found |= {(c, v): r for v, r in zip(some, rows)}
+                for n in shares:
+                    at[n] |= {(c, v): r for v, r in zip(some, ranks[n])}
+            continue
+        rows = _at_points(df, columns(c), values, made).groupBy("_i").agg(*[_PLAIN[kind](of).alias(n) for n, (kind, of) in statistics.items()]).collect()  # one for each point
         found |= {(c, values[r["_i"]]): r.asDict() for r in rows}
-        for v in values:
-            for n, e in y(c, F.lit(v)).items():
-                if n in shares:
-                    expressions[n][c, v] = clean(e)
-    at = {n: {} for n in shares}
-    for n, some in expressions.items():
-        keys = list(some)
-        read = quantiles(df, {str(i): some[k] for i, k in enumerate(keys)}, shares[n])
-        at[n] = {k: read[str(i)] for i, k in enumerate(keys)}
+        for n, p in shares.items():
+            read = quantiles(df, {str(i): _clean(made(F.lit(v))[n]) for i, v in enumerate(values)}, p)
+            at[n] |= {(c, v): read[str(i)] for i, v in enumerate(values)}
     return found, at
 
 
@@ -205,7 +244,7 @@ def function_influence(df: DataFrame, function: Callable[[dict[str, Column]], Co
     """What a Column function of x columns makes of moving each of them by up to one sample deviation.
 
     For each (variable, delta): mean, median, q1, q3, min, max and count of y, original_mean, and mean and median of
-    dy and of dy/delta. Only aggregates are shuffled or come to the driver. NaN counts as null; a constant column moves
+    dy and of dy/delta. The function takes its columns' values alone: equal rows are computed once. Only aggregates are shuffled or come to the driver. NaN counts as null; a constant column moves
     by a tenth of its mean; an empty table gives no rows.
     """
     if num_deltas < 1:
@@ -219,8 +258,8 @@ def function_influence(df: DataFrame, function: Callable[[dict[str, Column]], Co
         after = function({**here, c: here[c] + d})
         return {"y": after, "dy": after - before}
 
-    statistics = {"mean": F.avg("y"), "min": F.min("y"), "max": F.max("y"), "count": F.count("y"), "mean_dy": F.avg("dy")}
-    found, at = _summaries(df, x_columns, points, moved, statistics, {"y": [0.25, 0.5, 0.75], "dy": [0.5]})
+    statistics = {"mean": ("avg", "y"), "min": ("min", "y"), "max": ("max", "y"), "count": ("count", "y"), "mean_dy": ("avg", "dy")}
+    found, at = _summaries(df, lambda c: x_columns, points, moved, statistics, {"y": [0.25, 0.5, 0.75], "dy": [0.5]})
     rows = []
     for (c, d), s in found.items():
         (q1, median, q3), (median_dy,) = at["y"][c, d], at["dy"][c, d]
@@ -232,7 +271,8 @@ def function_influence(df: DataFrame, function: Callable[[dict[str, Column]], Co
 
 def influence_simulation(df: DataFrame, function: Callable[[dict[str, Column]], Column], columns: Sequence[str], num_points: int = 200, few: int = 10) -> DataFrame:
     """Columns of more than ``few`` values are set to points within two population deviations of their mean,
-    others to each of their values: y mean, sd, q1, median, q3 for each (variable, value). NaN counts as null."""
+    others to each of their values: y mean, sd, q1, median, q3 for each (variable, value). The function takes its
+    columns' values alone: equal rows are computed once. NaN counts as null."""
     if not columns:
         raise MissingArgumentError("no columns")
     row = df.agg(*[f(named(c)).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -245,6 +285,7 @@ def influence_simulation(df: DataFrame, function: Callable[[dict[str, Column]],
             points[c] = [m + s * (4 * i / max(num_points - 1, 1) - 2) for i in range(num_points)]
         else:
             points[c] = sorted(float(r[0]) for r in values)
-    found, at = _summaries(df, columns, points, lambda c, v: {"y": function({**here, c: v})}, {"mean": F.avg("y"), "sd": F.stddev_pop("y")}, {"y": [0.25, 0.5, 0.75]})
+    others = lambda c: [x for x in columns if x != c]
+    found, at = _summaries(df, others, points, lambda c, v: {"y": function({**here, c: v})}, {"mean": ("avg", "y"), "sd": ("sd", "y")}, {"y": [0.25, 0.5, 0.75]})
     rows = [(c, v, s["mean"], s["sd"], *at["y"][c, v]) for (c, v), s in found.items()]
     return df.sparkSession.createDataFrame(rows, "variable string, value double, mean double, sd double, q1 double, median double, q3 double")

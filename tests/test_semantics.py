@@ -519,3 +519,25 @@ def test_rows_are_not_dealt_by_a_few_groups(spark):
         assert (filled.count(), filled.where("y is null").count()) == (20_000, 4_000 if filled.columns[-1] == "n" else 0)
     many = spark.range(2_000).select("id", (F.col("id") % 1_000).alias("g"), F.col("id").cast("double").alias("x"), F.expr("if(id >= 1000, null, 1.0)").alias("y"))
     assert imputation.fill_each_split(many, ["y"], "g").where("y = 1").count() == 2_000
+
+
+@pytest.mark.parametrize("few", [1_000_000, 7])
+def test_influence_counts_equal_rows_once(spark, monkeypatch, few):
+    """Quantiles of some 1,400 expressions over all rows took longer than the table deserves; both ways agree."""
+    from millrace.operators import models as m
+
+    monkeypatch.setattr(m, "FEW", few)
+    df = spark.range(3_000).select(F.when(F.col("id") % 11 > 0, (F.col("id") % 13).cast("double")).alias("a"), (F.col("id") % 3).alias("b"))
+    rows = df.collect()
+    for r in models.influence_simulation(df, lambda x: x["a"] * x["b"] + 1e6, ["a", "b"], num_points=9).collect():
+        ys = sorted(y for y in ((r["value"] * x["b"] if r["variable"] == "a" else None if x["a"] is None else x["a"] * r["value"]) for x in rows) if y is not None)
+        mean, at = math.fsum(ys) / len(ys), lambda p: ys[math.floor(p * (len(ys) - 1))] * (1 - p * (len(ys) - 1) % 1) + ys[math.ceil(p * (len(ys) - 1))] * (p * (len(ys) - 1) % 1)  # noqa: B023
+        sd = (math.fsum((y - mean) ** 2 for y in ys) / len(ys)) ** 0.5
+        assert (r["mean"] - 1e6, r["sd"], r["q1"] - 1e6, r["median"] - 1e6, r["q3"] - 1e6) == pytest.approx((mean, sd, at(0.25), at(0.5), at(0.75)), abs=1e-6)
+    linear = models.function_influence(df, lambda x: x["a"] + 2 * x["b"], ["a", "b"], 4).collect()
+    assert len(linear) == 8 and all(r["count"] == sum(x["a"] is not None for x in rows) and r["mean_ratio"] == pytest.approx(1 if r["variable"] == "a" else 2) for r in linear)
+    seen = []
+    if few > 7:
+        monkeypatch.setattr(m, "quantiles", lambda *a: seen.append(a))
+        assert models.influence_simulation(df, lambda x: x["a"] * x["b"], ["a", "b"], num_points=9).count() == 12 and not seen
+        assert [tuple(r)[2:] for r in models.influence_simulation(df, lambda x: F.lit(None).cast("double"), ["b"]).collect()] == [(None,) * 5] * 3
